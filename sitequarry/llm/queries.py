@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES = {}
+from sitequarry.llm import encode, leaks, truncation
+from sitequarry.sources.tables import table
+
+QUERIES = {
+    "p6_ids": lambda spark, d: encode.encode(table(spark, d, "documents")),
+    "p6_tokens_by_source": lambda spark, d: encode.tokens_by_source(table(spark, d, "documents")),
+    "p7_found": lambda spark, d: leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p7_leaks_by_item": lambda spark, d: leaks.leaks_by_item(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p8_found": lambda spark, d: truncation.found(table(spark, d, "documents")),
+    "p8_by_source": lambda spark, d: truncation.by_source(table(spark, d, "documents")),
+    "p8_limits": lambda spark, d: truncation.spikes(table(spark, d, "documents")),
+}
 SQL = {}
