@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitequarry.llm import words
 from sitequarry.plans.session import checkpoint_dir
 
 #: Fixed value: the word pattern of the byte-level vocabularies, with Unicode white space in Java's syntax.
@@ -158,15 +159,9 @@ def words_of(text) -> F.Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = batch.column(0).flatten().value_counts()
-        yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "n"])
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often each word occurs in all texts: word, n. Counted per batch first, so the shuffle carries few rows."""
-    return docs.where(F.length(text) > 0).select(words_of(F.col(text)).alias("w")).mapInArrow(_count_batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.counts(docs, words_of(F.col(text)))
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lexicon_words: int = LEXICON_WORDS) -> DataFrame:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from sitequarry.llm import encode, leaks, truncation
+import re
+
+from sitequarry.llm import encode, forms, leaks, truncation
 from sitequarry.sources.tables import table
 
+
+def _forms(f):
+    return lambda spark, d: f(table(spark, d, "document_chunks"), table(spark, d, "drawing_entities"))
+
+
 QUERIES = {
+    "p4_found": _forms(forms.found),
+    "p4_forms": _forms(lambda chunks, entities: forms.consistent(forms.sources(chunks, entities)).select("src_table", "row_id", "form")),
     "p6_ids": lambda spark, d: encode.encode(table(spark, d, "documents")),
     "p6_tokens_by_source": lambda spark, d: encode.tokens_by_source(table(spark, d, "documents")),
     "p7_found": lambda spark, d: leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")),
@@ -14,4 +23,14 @@ QUERIES = {
     "p8_by_source": lambda spark, d: truncation.by_source(table(spark, d, "documents")),
     "p8_limits": lambda spark, d: truncation.spikes(table(spark, d, "documents")),
 }
-SQL = {}
+
+
+def _re2(pattern: str) -> str:
+    return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern).replace("'", "''")
+
+
+SQL = {
+    "p4_found": f"""
+select 'document_chunks' as src_table, id as row_id from document_chunks where regexp_matches(text, '{_re2(forms.TEXT_CASE)}')
+union all select 'drawing_entities', id from drawing_entities where regexp_matches(code, '{_re2(forms.CODE_CASE)}')""",
+}
