@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sitequarry.llm import encode, forms, leaks, truncation
+from sitequarry.llm import encode, forms, leaks, neardup, truncation
 from sitequarry.sources.tables import table
 
 
@@ -15,6 +15,8 @@ def _forms(f):
 QUERIES = {
     "p4_found": _forms(forms.found),
     "p4_forms": _forms(lambda chunks, entities: forms.consistent(forms.sources(chunks, entities)).select("src_table", "row_id", "form")),
+    "p5_found": lambda spark, d: neardup.found(table(spark, d, "document_chunks")),
+    "p5_groups": lambda spark, d: neardup.groups(table(spark, d, "document_chunks")),
     "p6_ids": lambda spark, d: encode.encode(table(spark, d, "documents")),
     "p6_tokens_by_source": lambda spark, d: encode.tokens_by_source(table(spark, d, "documents")),
     "p7_found": lambda spark, d: leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")),
