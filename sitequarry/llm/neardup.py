@@ -3,8 +3,8 @@
 PartEnum signatures find the candidates. The feature domain (hashed sequences) is partitioned; in each
 partition a text is represented by its least feature, sequences that are common in the corpus counting last, so that stock
 phrases do not make strangers meet. The partitions form first-level groups, within which all subsets that leave out one
-partition are enumerated: two texts that differ in one partition of some group at most share a signature. Candidates
-of unlike sizes, and those whose short sketches differ too much, are dropped; the rest is compared exactly.
+partition are enumerated: two texts that differ in one partition of some group at most share a signature. The candidates are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -22,13 +22,10 @@ from sitequarry.operators.components import components
 WIDTH = 5
 MIN_CHARS = 40
 #: First-level groups, partitions in each, and how many of these may differ.
-GROUPS, PARTS = 10, 4
+GROUPS, PARTS = 10, 5
 #: Sequences in more than this share of the texts are common. Counts under LOSS of a batch's texts are not sent.
-COMMON, LOSS = 0.01, 0.001
+COMMON, LOSS = 0.02, 0.002
 BUCKET_BITS = 22
-SKETCH = 32
-#: Of the SKETCH places of two sketches, so many must agree; at similarity 0.5 on average 17 do.
-SKETCH_AGREE = 10
 _SLICE = 1000
 
 
@@ -120,14 +117,6 @@ def _signatures(bits: np.ndarray, owner: np.ndarray, h: np.ndarray, texts: int)
     return out
 
 
-def _sketches(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """Two words per text: SKETCH places of four bits, from the least sequence of each partition."""
-    least = _least(owner, (h >> np.uint64(40)) % np.uint64(SKETCH), SKETCH, h & np.uint64((1 << 40) - 1), texts)
-    least = least * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(60)
-    half = SKETCH // 2
-    return np.stack([(least[:, i * half : (i + 1) * half] << (np.arange(half, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64) for i in range(2)], axis=1)
-
-
 def prepared(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """id, norm and h, the 64-bit hash of norm, of the texts long enough to count; nulls and short texts are left out."""
     norm = chunks.select(F.col(key).alias("id"), normal(F.col(text)).alias("norm")).where(F.length("norm") >= MIN_CHARS)
@@ -135,15 +124,14 @@ def prepared(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFram
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """a and b (hashes of texts, a < b) of the pairs that share a signature and agree in size and sketch."""
+    """a and b (ids, a < b) of the pairs that share a signature; of copies met in one task, the first stands for all."""
     bits = texts.sparkSession.sparkContext.broadcast(np.packbits(common_sequences(texts)))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = np.unpackbits(bits.value).astype(bool), set()
         for part in _slices(batches):
-            h = part.column(0).to_pylist()
             new = []
-            for i, x in enumerate(h):  # a text met before in this task adds nothing
+            for i, x in enumerate(part.column(1).to_pylist()):
                 if x not in seen:
                     seen.add(x)
                     new.append(i)
@@ -152,32 +140,15 @@ def _candidates(texts: DataFrame) -> DataFrame:
             if not new:
                 continue
             part = part.take(pa.array(new))
-            owner, hashed = _shingles(part.column(1))
-            sketch = _sketches(owner, hashed, len(new))
+            owner, hashed = _shingles(part.column(2))
             sigs = _signatures(common, owner, hashed, len(new))
-            size = np.bincount(owner, minlength=len(new))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(size.astype(np.int32)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(sigs.ravel()), GROUPS * PARTS).cast(pa.list_(pa.int32()))],
-                ["h", "size", "s1", "s2", "sigs"],
-            )
-
-    rows = texts.select("h", "norm").mapInArrow(features, "h long, size int, s1 long, s2 long, sigs array<int>")
-    # one exchange by signature serves both sides; copies of a text fall together in it
-    sigs = rows.select("h", F.explode("sigs").alias("sig"))
-    x, y = sigs.select("sig", F.col("h").alias("a")), sigs.select("sig", F.col("h").alias("b"))
-    pairs = x.join(y.hint("merge"), "sig").where("a < b").select("a", "b").distinct()
-    sketch = lambda end: rows.select(F.col("h").alias(end), F.col("size").alias(f"{end}_size"), F.col("s1").alias(f"{end}1"), F.col("s2").alias(f"{end}2")).dropDuplicates([end])
-    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
-    # sequences repeat within texts, so the sizes get some room
-    return both.where(F.greatest("a_size", "b_size") <= 3 * F.least("a_size", "b_size")).where(_agree("a1", "b1") + _agree("a2", "b2") >= SKETCH_AGREE).select("a", "b")
-
-
-def _agree(x: str, y: str) -> Column:
-    """How many of the sixteen places of two words agree: the places without a bit of difference."""
-    d = F.col(x).bitwiseXOR(F.col(y))
-    low = F.lit(0x1111111111111111)
-    any_bit = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3)).bitwiseAND(low)
-    return F.lit(16) - F.bit_count(any_bit)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(sigs.ravel()), GROUPS * PARTS).cast(pa.list_(pa.int32()))], ["id", "sigs"])
+
+    rows = texts.select("id", "h", "norm").mapInArrow(signatures, "id long, sigs array<int>")
+    # one exchange by signature serves both sides
+    sigs = rows.select("id", F.explode("sigs").alias("sig"))
+    x, y = sigs.select("sig", F.col("id").alias("a")), sigs.select("sig", F.col("id").alias("b"))
+    return x.join(y.hint("shuffle_hash"), "sig").where("a < b").select("a", "b").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +156,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unique, sizes = [], []
         for column in (2, 3):
             owner, h = _shingles(part.column(column))
-            keys = np.unique(owner.astype(np.uint64) << np.uint64(50) | h >> np.uint64(14))
+            keys = owner.astype(np.uint64) << np.uint64(50) | h >> np.uint64(14)
+            keys.sort()
+            keys = keys[np.diff(keys, prepend=np.uint64(2**64 - 1)) != 0]
             unique.append(keys)
             sizes.append(np.bincount((keys >> np.uint64(50)).astype(np.int64), minlength=part.num_rows))
-        both = np.intersect1d(*unique, assume_unique=True)
+        both = np.concatenate(unique)
+        both.sort()
+        both = both[1:][both[1:] == both[:-1]]
         shared = np.bincount((both >> np.uint64(50)).astype(np.int64), minlength=part.num_rows)
         union = sizes[0] + sizes[1] - shared
         keep = pa.array(np.flatnonzero(2 * shared >= union))
@@ -197,13 +172,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_classes(texts: DataFrame) -> DataFrame:
-    """a, b and similarity of the pairs of different texts, by hash, that are alike; copies are one class."""
+    """a, b (hashes of texts, a < b) and similarity of the pairs of different texts that are alike; copies are one class."""
     candidates = _candidates(texts)
-    wanted = candidates.select(F.col("a").alias("h")).union(candidates.select(F.col("b").alias("h"))).distinct()
-    used = texts.select("h", "norm").join(wanted, "h", "left_semi").dropDuplicates(["h"])
-    text = lambda end: used.select(F.col("h").alias(end), F.col("norm").alias(f"{end}_text"))
-    rows = candidates.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
-    return rows.mapInArrow(_compare, "a long, b long, similarity double")
+    wanted = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
+    used = texts.join(wanted, "id", "left_semi")
+    text = lambda end: used.select(F.col("id").alias(end), F.col("h").alias(f"{end}_h"), F.col("norm").alias(f"{end}_text"))
+    rows = candidates.join(text("a"), "a").join(text("b"), "b").where("a_h <> b_h").select("a_h", "b_h", "a_text", "b_text")
+    return rows.mapInArrow(_compare, "a long, b long, similarity double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
 
 
 def found(chunks: DataFrame) -> DataFrame:

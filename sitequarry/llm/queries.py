@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sitequarry.llm import encode, forms, leaks, neardup, truncation
+from sitequarry.llm import encode, forms, leaks, neardup, scans, truncation
 from sitequarry.sources.tables import table
 
 
@@ -12,7 +12,13 @@ def _forms(f):
     return lambda spark, d: f(table(spark, d, "document_chunks"), table(spark, d, "drawing_entities"))
 
 
+def _scans(f):
+    return lambda spark, d: f(scans.sources(table(spark, d, "document_chunks"), table(spark, d, "extracted_elements")))
+
+
 QUERIES = {
+    "p3_found": _scans(scans.found),
+    "p3_repaired": _scans(scans.repaired),
     "p4_found": _forms(forms.found),
     "p4_forms": _forms(lambda chunks, entities: forms.consistent(forms.sources(chunks, entities)).select("src_table", "row_id", "form")),
     "p5_found": lambda spark, d: neardup.found(table(spark, d, "document_chunks")),
