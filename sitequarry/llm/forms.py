@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -53,24 +54,29 @@ _PLAIN = rf"[{LATIN}0-9]+"
 _TOKEN = regex.compile(rf"[{LATIN}0-9{FULL_WIDTH}{ALPHABETS}{MARKS}{INVISIBLE}{LIGATURES}]+")
 
 
+def _members(spec: str) -> list[str]:
+    """The characters of a class."""
+    return regex.findall(f"[{spec}]", "".join(map(chr, range(0x80, 0x10000))).encode("utf-16", "surrogatepass").decode("utf-16", "ignore"))
+
+
+_TABLE = {ord(c): unicodedata.normalize("NFKC", c) for c in _members(FULL_WIDTH + LIGATURES + RADICALS)}
+_TABLE |= {ord(c): None for c in _members(INVISIBLE)} | {ord(c): " " for c in _members(BLANKS)} | {ord(c): "-" for c in _members(HYPHENS + "\uff0d")}
+_CODE_TABLE = {ord(c): unicodedata.normalize("NFKC", c) for c in _members(ANY_FULL_WIDTH)} | _TABLE
+_LATIN_TABLE = str.maketrans(LOOKALIKE)
+_MIXED, _CASE = regex.compile(MIXED), regex.compile(TEXT_CASE)
+_MIXED_TOKEN = regex.compile(rf"[{LATIN}0-9{ALPHABETS}-]+")
+_IGNORED = frozenset(_members(INVISIBLE))
+_ODD, _FOREIGN = regex.compile(f"[{SINGLE}{ALPHABETS}]"), regex.compile(f"[{ALPHABETS}]+")
+
+
 def by_table(text: str, code: bool = False) -> str:
     """The plain form of every character by its compatibility mapping; look-alike letters become Latin only in mixed tokens."""
-    out = []
-    for c in text:
-        if regex.match(f"[{INVISIBLE}]", c):
-            continue
-        if regex.match(f"[{BLANKS}]", c):
-            c = " "
-        elif regex.match(f"[{HYPHENS}\uff0d]", c):
-            c = "-"
-        elif regex.match(f"[{FULL_WIDTH}{LIGATURES}{RADICALS}]" if not code else f"[{FULL_WIDTH}{ANY_FULL_WIDTH}{LIGATURES}{RADICALS}]", c):
-            c = unicodedata.normalize("NFKC", c)
-        out.append(c)
-    plain = unicodedata.normalize("NFC", "".join(out))
-    if code or regex.search(MIXED, plain):
-        latin = lambda m: "".join(LOOKALIKE.get(c, c) for c in m[0]) if code or regex.search(MIXED, f" {m[0]}") else m[0]
-        plain = regex.sub(rf"[{LATIN}0-9{ALPHABETS}-]+", latin, plain)
-    return plain.strip() if code else plain
+    plain = unicodedata.normalize("NFC", text.translate(_CODE_TABLE if code else _TABLE))
+    if code:
+        return plain.translate(_LATIN_TABLE).strip()
+    if _MIXED.search(plain):
+        plain = _MIXED_TOKEN.sub(lambda m: m[0].translate(_LATIN_TABLE) if _MIXED.search(" " + m[0]) else m[0], plain)
+    return plain
 
 
 class Trie:
@@ -85,10 +91,11 @@ class Trie:
             node[""] = n
 
     @staticmethod
+    @lru_cache(65536)
     def readings(c: str) -> tuple[str, ...]:
         """What a character may stand for at no cost: itself, what it looks like, or nothing if it can be ignored."""
         wide = unicodedata.normalize("NFKC", c)
-        return tuple(dict.fromkeys(x for x in (c, LOOKALIKE.get(c, ""), wide) if x)) + (("",) if regex.match(f"[{INVISIBLE}]", c) else ())
+        return tuple(dict.fromkeys(x for x in (c, LOOKALIKE.get(c, ""), wide) if x)) + (("",) if c in _IGNORED else ())
 
     def best(self, token: str) -> str | None:
         """The most frequent word that looks like the token, at no cost; None if there is none."""
@@ -116,9 +123,7 @@ def canonical(text: str, trie: Trie, code: bool = False) -> str:
     """The consistent form of one text."""
     def token(m) -> str:
         t = m[0]
-        if not regex.search(f"[{SINGLE}{ALPHABETS}]", t) or (not code and not regex.search(TEXT_CASE, f" {t}")):
-            return t
-        if not code and regex.fullmatch(f"[{ALPHABETS}]+", t):
+        if not _ODD.search(t) or (not code and (_FOREIGN.fullmatch(t) or not _CASE.search(" " + t))):
             return t
         return trie.best(t) or t
 
@@ -137,24 +142,31 @@ def consistent(texts: DataFrame, size: int = TRIE_WORDS) -> DataFrame:
     ``texts`` has src_table, row_id, text and code (whether the text is a code). A null text has a null form and
     is not disguised; an empty one stays empty. Codes lose outer blanks in their form. Repeated rows come out each.
     """
-    suspicious = F.when(F.col("code"), F.col("text").rlike(CODE_CASE)).otherwise(F.col("text").rlike(f"[{SINGLE}{ALPHABETS}]"))
-    marked = texts.select("src_table", "row_id", "text", "code", F.coalesce(suspicious, F.lit(False)).alias("suspicious"))
+    disguised = F.when(F.col("code"), F.col("text").rlike(CODE_CASE)).otherwise(F.col("text").rlike(TEXT_CASE))
+    marked = texts.select("src_table", "row_id", "text", "code", F.coalesce(disguised, F.lit(False)).alias("disguised"))
     known = texts.sparkSession.sparkContext.broadcast(vocabulary(texts, size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = None
-        case = regex.compile(TEXT_CASE), regex.compile(CODE_CASE)
         for batch in batches:
-            trie = trie or Trie(known.value)
-            disguised = [bool(case[code].search(t)) for t, code in zip(batch["text"], batch["code"])]
-            form = [canonical(t, trie, code) if d else t for t, code, d in zip(batch["text"], batch["code"], disguised)]
-            yield pd.DataFrame({"src_table": batch["src_table"], "row_id": batch["row_id"], "form": form, "disguised": disguised})
+            trie = _trie(known)
+            form = [canonical(t, trie, code) for t, code in zip(batch["text"], batch["code"])]
+            yield pd.DataFrame({"src_table": batch["src_table"], "row_id": batch["row_id"], "form": form, "disguised": True})
 
-    odd = marked.where("suspicious").select("src_table", "row_id", "text", "code").mapInPandas(run, "src_table string, row_id long, form string, disguised boolean")
-    same = marked.where("not suspicious").select("src_table", "row_id", F.when(F.col("code"), F.trim("text")).otherwise(F.col("text")).alias("form"), F.lit(False).alias("disguised"))
+    odd = marked.where("disguised").select("src_table", "row_id", "text", "code").mapInPandas(run, "src_table string, row_id long, form string, disguised boolean")
+    same = marked.where("not disguised").select("src_table", "row_id", F.when(F.col("code"), F.trim("text")).otherwise(F.col("text")).alias("form"), F.lit(False).alias("disguised"))
     return same.unionByName(odd)
 
 
+_TRIES: dict = {}
+
+
+def _trie(known) -> Trie:
+    """The trie of a broadcast vocabulary, built once per worker."""
+    if known.value is not _TRIES.get("of"):
+        _TRIES.update(of=known.value, trie=Trie(known.value))
+    return _TRIES["trie"]
+
+
 def sources(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """The texts of document_chunks and the codes of drawing_entities."""
     both = words.gathered(("document_chunks", chunks, "text", None), ("drawing_entities", entities, "code", None))
