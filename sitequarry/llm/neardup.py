@@ -75,9 +75,10 @@ def common_sequences(texts: DataFrame) -> np.ndarray:
 
     Counted over all texts; the bitmap has a fixed size, and at most mean length / COMMON buckets are ever collected.
     """
-    counted = texts.select("norm").mapInArrow(_count_sequences, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    n = counted.where("bucket = -1").select(F.col("n").alias("n_texts"))
-    rows = counted.where("bucket >= 0").join(F.broadcast(n)).where(F.col("n") > COMMON * F.col("n_texts")).select("bucket").collect()
+    # filters on ``b`` stay above the exchange, so that both sides of the join read the same one
+    counted = texts.select("norm").mapInArrow(_count_sequences, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"), F.max("bucket").alias("b")).select("b", "n")
+    n = counted.where("b = -1").select(F.col("n").alias("n_texts"))
+    rows = counted.where("b >= 0").join(F.broadcast(n)).where(F.col("n") > COMMON * F.col("n_texts")).select(F.col("b").alias("bucket")).collect()
     out = np.zeros(1 << BUCKET_BITS, bool)
     out[[r.bucket for r in rows]] = True
     return out
