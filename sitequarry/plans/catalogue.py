@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sitequarry.plans import problems
+from sitequarry.plans import problems, text_queries
 
 FLAGSHIP = "p2_found"
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **text_queries.QUERIES}
+SQL = {**problems.SQL, **text_queries.SQL}
