@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sitequarry.plans import problems, text_queries
+from sitequarry.plans import graph_queries, problems, retrieval_queries, text_queries
 
 FLAGSHIP = "p2_found"
-QUERIES = {**problems.QUERIES, **text_queries.QUERIES}
-SQL = {**problems.SQL, **text_queries.SQL}
+QUERIES = {**problems.QUERIES, **text_queries.QUERIES, **retrieval_queries.QUERIES, **graph_queries.QUERIES}
+SQL = {**problems.SQL, **text_queries.SQL, **retrieval_queries.SQL, **graph_queries.SQL}
