@@ -7,6 +7,7 @@ one. Tokens that reach none are normalised by table. Everything else is left as
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,7 +52,7 @@ MIXED = f"[{LATIN}]{_BETWEEN}[{OTHER}]|[{OTHER}]{_BETWEEN}[{LATIN}]|(?:^|[^{ALPH
 TEXT_CASE = f"[{SINGLE}]|{MIXED}"
 CODE_CASE = f"[{SINGLE}{ANY_FULL_WIDTH}]|[{OTHER}]"
 _PLAIN = rf"[{LATIN}0-9]+"
-_TOKEN = regex.compile(rf"[{LATIN}0-9{FULL_WIDTH}{ALPHABETS}{MARKS}{INVISIBLE}{LIGATURES}]+")
+_TOKEN = re.compile(rf"[{LATIN}0-9{FULL_WIDTH}{ALPHABETS}{MARKS}{INVISIBLE}{LIGATURES}]+")
 
 
 def _members(spec: str) -> list[str]:
@@ -63,10 +64,12 @@ _TABLE = {ord(c): unicodedata.normalize("NFKC", c) for c in _members(FULL_WIDTH
 _TABLE |= {ord(c): None for c in _members(INVISIBLE)} | {ord(c): " " for c in _members(BLANKS)} | {ord(c): "-" for c in _members(HYPHENS + "\uff0d")}
 _CODE_TABLE = {ord(c): unicodedata.normalize("NFKC", c) for c in _members(ANY_FULL_WIDTH)} | _TABLE
 _LATIN_TABLE = str.maketrans(LOOKALIKE)
-_MIXED, _CASE = regex.compile(MIXED), regex.compile(TEXT_CASE)
-_MIXED_TOKEN = regex.compile(rf"[{LATIN}0-9{ALPHABETS}-]+")
+_MIXED, _CASE, _CODE = re.compile(MIXED), re.compile(TEXT_CASE), re.compile(CODE_CASE)
+#: Texts of nothing but these characters hold no case; the ranges are few, so that the JVM decides quickly.
+UNSUSPICIOUS = "\\x00-\\x7f\\u00ae-\\u02ff\\u2013-\\u2027\\u3001-\\u303f\\u3400-\\u9fff\\uff08-\\uff0c\\uff1a-\\uff20¬§°"
+_MIXED_TOKEN = re.compile(rf"[{LATIN}0-9{ALPHABETS}-]+")
 _IGNORED = frozenset(_members(INVISIBLE))
-_ODD, _FOREIGN = regex.compile(f"[{SINGLE}{ALPHABETS}]"), regex.compile(f"[{ALPHABETS}]+")
+_ODD, _FOREIGN = re.compile(f"[{SINGLE}{ALPHABETS}]"), re.compile(f"[{ALPHABETS}]+")
 
 
 def by_table(text: str, code: bool = False) -> str:
@@ -142,18 +145,19 @@ def consistent(texts: DataFrame, size: int = TRIE_WORDS) -> DataFrame:
     ``texts`` has src_table, row_id, text and code (whether the text is a code). A null text has a null form and
     is not disguised; an empty one stays empty. Codes lose outer blanks in their form. Repeated rows come out each.
     """
-    disguised = F.when(F.col("code"), F.col("text").rlike(CODE_CASE)).otherwise(F.col("text").rlike(TEXT_CASE))
-    marked = texts.select("src_table", "row_id", "text", "code", F.coalesce(disguised, F.lit(False)).alias("disguised"))
+    suspicious = F.when(F.col("code"), F.col("text").rlike(r"[^\x00-\x7f\u4e00-\u9fff]")).otherwise(F.col("text").rlike(f"[^{UNSUSPICIOUS}]"))
+    marked = texts.select("src_table", "row_id", "text", "code", F.coalesce(suspicious, F.lit(False)).alias("suspicious"))
     known = texts.sparkSession.sparkContext.broadcast(vocabulary(texts, size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             trie = _trie(known)
-            form = [canonical(t, trie, code) for t, code in zip(batch["text"], batch["code"])]
-            yield pd.DataFrame({"src_table": batch["src_table"], "row_id": batch["row_id"], "form": form, "disguised": True})
+            disguised = [bool((_CODE if code else _CASE).search(t)) for t, code in zip(batch["text"], batch["code"])]
+            form = [canonical(t, trie, code) if d else t.strip(" ") if code else t for t, code, d in zip(batch["text"], batch["code"], disguised)]
+            yield pd.DataFrame({"src_table": batch["src_table"], "row_id": batch["row_id"], "form": form, "disguised": disguised})
 
-    odd = marked.where("disguised").select("src_table", "row_id", "text", "code").mapInPandas(run, "src_table string, row_id long, form string, disguised boolean")
-    same = marked.where("not disguised").select("src_table", "row_id", F.when(F.col("code"), F.trim("text")).otherwise(F.col("text")).alias("form"), F.lit(False).alias("disguised"))
+    odd = marked.where("suspicious").select("src_table", "row_id", "text", "code").mapInPandas(run, "src_table string, row_id long, form string, disguised boolean")
+    same = marked.where("not suspicious").select("src_table", "row_id", F.when(F.col("code"), F.trim("text")).otherwise(F.col("text")).alias("form"), F.lit(False).alias("disguised"))
     return same.unionByName(odd)
 
 
