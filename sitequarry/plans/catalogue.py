@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sitequarry.plans import graph_queries, problems, retrieval_queries, text_queries
+from sitequarry.plans import graph_queries, problems, project_queries, retrieval_queries, stream_queries, text_queries
 
-FLAGSHIP = "p2_found"
-QUERIES = {**problems.QUERIES, **text_queries.QUERIES, **retrieval_queries.QUERIES, **graph_queries.QUERIES}
-SQL = {**problems.SQL, **text_queries.SQL, **retrieval_queries.SQL, **graph_queries.SQL}
+FLAGSHIP = "op_db_dashboard"
+QUERIES = {**problems.QUERIES, **text_queries.QUERIES, **retrieval_queries.QUERIES, **graph_queries.QUERIES, **project_queries.QUERIES, **stream_queries.QUERIES}
+SQL = {**problems.SQL, **text_queries.SQL, **retrieval_queries.SQL, **graph_queries.SQL, **project_queries.SQL, **stream_queries.SQL}
