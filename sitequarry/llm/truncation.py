@@ -64,7 +64,10 @@ def judged(docs: DataFrame) -> DataFrame:
     Null, empty and blank texts are left out. A null source is a source of its own. Repeated rows are judged each.
     """
     pile = spikes(docs).groupBy(F.col("source").alias("_s")).agg(F.collect_list(F.struct("measure", "low", "top")).alias("piles"))
-    bare = F.regexp_replace("text", r"^[\s 　]+|[\s 　]+$", "")
+    # the end is enough, unless it is blank for long
+    strip = lambda x: F.regexp_replace(x, r"[\s\u00a0\u3000]+$", "")
+    last = strip(F.right(F.col("text"), F.lit(200)))
+    bare = F.when(last != "", last).otherwise(strip(F.col("text")))
     rows = docs.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.right(bare, F.lit(160)).alias("tail")).where("tail <> ''")
     # at most two rows per source: small whatever the corpus holds, so the planner may broadcast it
     rows = rows.join(pile, F.col("source").eqNullSafe(F.col("_s")), "left")
@@ -73,15 +76,13 @@ def judged(docs: DataFrame) -> DataFrame:
     tail = F.regexp_replace("tail", r"\r\n?", "\n")
     shown = F.regexp_replace(tail, rf"[\s ]*{SYMBOLS}", "")
     symbol = shown != tail
-    unit = F.regexp_extract(tail, LIST_ENTRY, 1)
     closing = F.lit(False)
     for form in (*SIGN_OFF, TABLE_ROW):
         closing = closing | tail.rlike(form)
     marked = tail.rlike(CUT_MARKS)
-    return rows.select(
-        "doc_id", "source", at_limit.alias("at_limit"), unit.alias("unit"),
-        (~marked & (shown.rlike(TERMINAL) | symbol | closing)).alias("ended"),
-    )
+    ended = F.when(marked, False).when(shown.rlike(TERMINAL) | symbol, True).otherwise(closing)
+    unit = F.when(~F.col("ended"), F.regexp_extract("t", LIST_ENTRY, 1)).otherwise("")
+    return rows.select("doc_id", "source", at_limit.alias("at_limit"), tail.alias("t"), ended.alias("ended")).select("doc_id", "source", "at_limit", unit.alias("unit"), "ended")
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
