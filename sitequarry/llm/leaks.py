@@ -106,7 +106,7 @@ class Automaton:
                 for i in self.owners(v, least):
                     spans = found.setdefault(i, [])
                     a = k + 1 - m
-                    if spans and spans[-1][1] == k and spans[-1][0] <= a:  # this stretch goes on
+                    if spans and spans[-1] == (a, k):  # this stretch goes on
                         spans[-1] = (spans[-1][0], k + 1)
                     elif not spans or spans[-1][1] != k + 1:
                         spans.append((a, k + 1))
