@@ -73,16 +73,13 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = rows.join(pile, F.col("source").eqNullSafe(F.col("_s")), "left")
     size = lambda x: F.when(x["measure"] == "chars", F.col("chars")).otherwise(F.col("bytes"))
     at_limit = F.coalesce(F.exists("piles", lambda x: (size(x) >= x["low"]) & (size(x) <= x["top"])), F.lit(False))
-    tail = F.regexp_replace("tail", r"\r\n?", "\n")
-    shown = F.regexp_replace(tail, rf"[\s ]*{SYMBOLS}", "")
-    symbol = shown != tail
-    closing = F.lit(False)
-    for form in (*SIGN_OFF, TABLE_ROW):
-        closing = closing | tail.rlike(form)
-    marked = tail.rlike(CUT_MARKS)
-    ended = F.when(marked, False).when(shown.rlike(TERMINAL) | symbol, True).otherwise(closing)
-    unit = F.when(~F.col("ended"), F.regexp_extract("t", LIST_ENTRY, 1)).otherwise("")
-    return rows.select("doc_id", "source", at_limit.alias("at_limit"), tail.alias("t"), ended.alias("ended")).select("doc_id", "source", "at_limit", unit.alias("unit"), "ended")
+    # a projection each, so that no expression is worked out twice
+    rows = rows.select("doc_id", "source", at_limit.alias("at_limit"), F.regexp_replace("tail", r"\r\n?", "\n").alias("t"))
+    rows = rows.withColumn("shown", F.regexp_replace("t", rf"[\s\u00a0]*{SYMBOLS}", ""))
+    closing = F.col("t").rlike("|".join(f"(?:{form})" for form in (*SIGN_OFF, TABLE_ROW)))
+    ended = F.when(F.col("t").rlike(CUT_MARKS), False).when(F.col("shown").rlike(TERMINAL) | (F.col("shown") != F.col("t")), True).otherwise(closing)
+    rows = rows.select("doc_id", "source", "at_limit", "t", ended.alias("ended"))
+    return rows.select("doc_id", "source", "at_limit", F.when(~F.col("ended"), F.regexp_extract("t", LIST_ENTRY, 1)).otherwise("").alias("unit"), "ended")
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
