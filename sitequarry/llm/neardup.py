@@ -1,10 +1,9 @@
 """Near-duplicate texts: all pairs whose sets of five-character sequences have a similarity of a half or more.
 
-PartEnum signatures find the candidates. The feature domain (hashed sequences) is partitioned; in each
-partition a text is represented by its least feature, sequences that are common in the corpus counting last, so that stock
-phrases do not make strangers meet. The partitions form first-level groups, within which all subsets that leave out one
-partition are enumerated: two texts that differ in one partition of some group at most share a signature. The candidates are
-compared exactly.
+PartEnum signatures find the candidates. A text is represented by the minima of its sequences, all of them, under
+independent hash functions; a minimum is equal in two texts with their similarity as the probability. The minima form first-level
+groups, within which all subsets that leave out one are enumerated: two texts that differ in one minimum of some group at
+most share a signature. Candidates whose sketches, one bit a minimum, are too far apart are dropped where they meet; the others are compared exactly.
 """
 
 from __future__ import annotations
@@ -21,11 +20,12 @@ from sitequarry.operators.components import components
 
 WIDTH = 5
 MIN_CHARS = 40
-#: First-level groups, partitions in each, and how many of these may differ.
-GROUPS, PARTS = 10, 5
-#: Sequences in more than this share of the texts are common. Counts under LOSS of a batch's texts are not sent.
-COMMON, LOSS = 0.02, 0.002
-BUCKET_BITS = 22
+#: First-level groups, minima in each; one may differ. A pair at one half has no signature in common with probability 2 ** -GROUPS.
+GROUPS, PARTS = 16, 3
+#: Bits of a sketch, and how many may differ: at one half 96 do, 4.3 standard deviations less.
+BITS, MAX_DISTANCE = 384, 132
+_WORDS = BITS // 64
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SLICE = 1000
 
 
@@ -55,69 +55,33 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, _SLICE)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _minima(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
+    """Per hash function and text the least 32-bit value of its sequences; every text has one at least."""
+    first = np.searchsorted(owner, np.arange(texts))
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat(h * factor, first) for factor in _FACTORS])
 
 
-def _count_sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, texts = np.zeros(1 << BUCKET_BITS, np.int32), 0
-    for part in _slices(batches):
-        total += np.bincount(_bucket(_shingles(part.column(0))[1]), minlength=1 << BUCKET_BITS).astype(np.int32)
-        texts += part.num_rows
-    if texts:
-        keep = np.flatnonzero(total > LOSS * texts)
-        # the number of texts travels in a bucket of its own
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(keep, -1)), pa.array(np.append(total[keep], texts).astype(np.int64))], ["bucket", "n"])
-
-
-def common_sequences(texts: DataFrame) -> np.ndarray:
-    """Bitmap over hash buckets: those of sequences found in more than the share COMMON of the texts.
-
-    Counted over all texts; the bitmap has a fixed size, and at most mean length / COMMON buckets are ever collected.
-    """
-    # filters on ``b`` stay above the exchange, so that both sides of the join read the same one
-    counted = texts.select("norm").mapInArrow(_count_sequences, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"), F.max("bucket").alias("b")).select("b", "n")
-    n = counted.where("b = -1").select(F.col("n").alias("n_texts"))
-    rows = counted.where("b >= 0").join(F.broadcast(n)).where(F.col("n") > COMMON * F.col("n_texts")).select(F.col("b").alias("bucket")).collect()
-    out = np.zeros(1 << BUCKET_BITS, bool)
-    out[[r.bucket for r in rows]] = True
-    return out
-
-
-def _least(owner: np.ndarray, part: np.ndarray, parts: int, value: np.ndarray, texts: int) -> np.ndarray:
-    """Per text and partition the least 40-bit value; an empty partition takes its right neighbour's, marked by the distance."""
-    key = (owner.astype(np.uint64) * np.uint64(parts) + part.astype(np.uint64)) << np.uint64(41) | value
-    key.sort()
-    cell = (key >> np.uint64(41)).astype(np.int64)
-    first = np.flatnonzero(np.diff(cell, prepend=-1))
-    out = np.zeros(texts * parts, np.uint64)
-    out[cell[first]] = (key[first] & np.uint64((1 << 41) - 1)) + np.uint64(1)
-    out = out.reshape(texts, parts)
-    for _ in range(2):  # around the end once
-        for p in range(parts - 1, -1, -1):
-            empty = out[:, p] == 0
-            right = out[:, (p + 1) % parts]
-            out[empty, p] = np.where(right[empty] > 0, right[empty] * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1), np.uint64(0))
-    return out
-
-
-def _signatures(bits: np.ndarray, owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
+def _signatures(least: np.ndarray) -> np.ndarray:
     """GROUPS * PARTS signatures of 32 bits per text."""
-    parts = GROUPS * PARTS
-    value = (h & np.uint64((1 << 40) - 1)) | (bits[_bucket(h)].astype(np.uint64) << np.uint64(40))
-    least = _least(owner, (h >> np.uint64(12)) % np.uint64(parts), parts, value, texts)
-    out = np.empty((texts, parts), np.int32)
+    out = np.empty((least.shape[1], GROUPS * PARTS), np.int32)
     for g in range(GROUPS):
         for left_out in range(PARTS):
-            sig = np.full(texts, g * PARTS + left_out + 1, np.uint64)
+            sig = np.full(least.shape[1], g * PARTS + left_out + 1, np.uint64)
             for p in range(PARTS):
                 if p != left_out:
-                    sig = (sig ^ least[:, g * PARTS + p]) * np.uint64(0xC4CEB9FE1A85EC53)
+                    sig = (sig ^ least[g * PARTS + p]) * np.uint64(0xC4CEB9FE1A85EC53)
                     sig ^= sig >> np.uint64(29)
             out[:, g * PARTS + left_out] = (sig >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
+def _sketches(least: np.ndarray) -> np.ndarray:
+    """One bit of every minimum, as _WORDS rows of 64 bits per text."""
+    bits = (least * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.int64).T
+
+
 def prepared(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """id, norm and h, the 64-bit hash of norm, of the texts long enough to count; nulls and short texts are left out."""
     norm = chunks.select(F.col(key).alias("id"), normal(F.col(text)).alias("norm")).where(F.length("norm") >= MIN_CHARS)
@@ -125,11 +89,10 @@ def prepared(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFram
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """a and b (ids, a < b) of the pairs that share a signature; of copies met in one task, the first stands for all."""
-    bits = texts.sparkSession.sparkContext.broadcast(np.packbits(common_sequences(texts)))
+    """a and b (ids, a < b) of the pairs that share a signature and have near sketches; of copies met in one task, the first stands for all."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = np.unpackbits(bits.value).astype(bool), set()
+        seen = set()
         for part in _slices(batches):
             new = []
             for i, x in enumerate(part.column(1).to_pylist()):
@@ -141,15 +104,17 @@ def _candidates(texts: DataFrame) -> DataFrame:
             if not new:
                 continue
             part = part.take(pa.array(new))
-            owner, hashed = _shingles(part.column(2))
-            sigs = _signatures(common, owner, hashed, len(new))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(sigs.ravel()), GROUPS * PARTS).cast(pa.list_(pa.int32()))], ["id", "sigs"])
+            least = _minima(*_shingles(part.column(2)), len(new))
+            sigs = pa.FixedSizeListArray.from_arrays(pa.array(_signatures(least).ravel()), GROUPS * PARTS).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), sigs, *map(pa.array, _sketches(least))], ["id", "sigs", *words])
 
-    rows = texts.select("id", "h", "norm").mapInArrow(signatures, "id long, sigs array<int>")
+    words = [f"w{i}" for i in range(_WORDS)]
+    rows = texts.select("id", "h", "norm").mapInArrow(signatures, "id long, sigs array<int>, " + ", ".join(f"{w} long" for w in words))
     # one exchange by signature serves both sides
-    sigs = rows.select("id", F.explode("sigs").alias("sig"))
-    x, y = sigs.select("sig", F.col("id").alias("a")), sigs.select("sig", F.col("id").alias("b"))
-    return x.join(y.hint("shuffle_hash"), "sig").where("a < b").select("a", "b").distinct()
+    sigs = rows.select(F.explode("sigs").alias("sig"), "id", *words)
+    x, y = sigs.toDF("sig", "a", *(f"a_{w}" for w in words)), sigs.toDF("sig", "b", *(f"b_{w}" for w in words))
+    distance = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
+    return x.join(y.hint("shuffle_hash"), "sig").where(F.col("a") < F.col("b")).where(distance <= MAX_DISTANCE).select("a", "b").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,3 +50,22 @@ def test_hot_copies_and_empty(spark):
     assert N.found(df).count() == 300 * 299 // 2
     assert N.groups(df).where("copies = 300 and group_id = 0 and links = 0").count() == 300
     assert N.found(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def test_every_pair_near_one_half(spark):
+    """Pairs alike by stock phrases alone, and pairs just above one half, are found, every one."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows, stock = [], [" ".join(word() for _ in range(30)) for _ in range(12)]
+    for i in range(240):
+        if i % 2:  # half stock phrases and more, which many texts share, and words of its own
+            rows.append((i, stock[i % 12] + " " + " ".join(word() for _ in range(6)), "s"))
+        else:  # a fresh text, and one with about a third of it changed
+            words = [word() for _ in range(60)]
+            rows.append((i, " ".join(words), "f"))
+            rows.append((1000 + i, " ".join(words[:41] + [word() for _ in range(19)]), "f"))
+    sets = {i: grams(t) for i, t, _ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    close = [p for p in want if len(sets[p[0]] & sets[p[1]]) < 0.56 * len(sets[p[0]] | sets[p[1]])]
+    assert len(close) > 30
+    assert {tuple(r) for r in N.found(spark.createDataFrame(rows, "id long, text string, h string")).collect()} == want
