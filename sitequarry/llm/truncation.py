@@ -1,8 +1,8 @@
 """Text cut off by field limits or in transfer.
 
 Per source and column, histograms of the lengths in characters and in bytes are tested for a spike at their upper
-end: a limited field piles its cut values up there. Values at a spike that do not end as a text ends were
-cut. Cuts in transfer leave no spike; for them the end itself is judged: it is neither a sentence end nor one of the closing
+end: a limited field piles its cut values up there. Values at a spike without a sentence end were cut, unless their last line,
+numbers aside, is a closing form that also ends texts below the limit. Cuts in transfer leave no spike; for them the end itself is judged: it is neither a sentence end nor one of the closing
 forms in which texts end without a full stop.
 """
 
@@ -16,6 +16,9 @@ SPIKE_ROWS, SPIKE_RATIO = 5, 6.0
 #: Bytes of one UTF-8 character at most, by which a cut at a byte limit may fall short of it.
 SPIKE_WIDTH = {"chars": 1, "bytes": 4}
 
+#: Texts that must share the unit of a list entry: this many, and this share of all list entries. Texts below the limit that must share a last line at it.
+UNIT_ROWS, UNIT_SHARE, LINE_ROWS = 3, 0.001, 3
+
 # How texts end.
 TERMINAL = r"[.。!！?？]['\"”’»)）\]】]*$"
 CUT_MARKS = r"(?:\.{3,}|…|�|\[\.\.\.\])$"
@@ -59,7 +62,8 @@ def spikes(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """Every text with content: doc_id, source, at_limit (its length lies in a spike of its source), ended, cut.
+    """Every text with content: doc_id, source, at_limit (its length lies in a spike of its source), unit (last word
+    of a list entry that has no other end), line (last line, numbers masked, of a text without sentence end), ended.
 
     Null, empty and blank texts are left out. A null source is a source of its own. Repeated rows are judged each.
     """
@@ -77,20 +81,31 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "source", at_limit.alias("at_limit"), F.regexp_replace("tail", r"\r\n?", "\n").alias("t"))
     rows = rows.withColumn("shown", F.regexp_replace("t", rf"[\s\u00a0]*{SYMBOLS}", ""))
     closing = F.col("t").rlike("|".join(f"(?:{form})" for form in (*SIGN_OFF, TABLE_ROW)))
-    ended = F.when(F.col("t").rlike(CUT_MARKS), False).when(F.col("shown").rlike(TERMINAL) | (F.col("shown") != F.col("t")), True).otherwise(closing)
-    rows = rows.select("doc_id", "source", "at_limit", "t", ended.alias("ended"))
-    return rows.select("doc_id", "source", "at_limit", F.when(~F.col("ended"), F.regexp_extract("t", LIST_ENTRY, 1)).otherwise("").alias("unit"), "ended")
+    marked, sentence = F.col("t").rlike(CUT_MARKS), F.col("shown").rlike(TERMINAL)
+    ended = F.when(marked, "no").when(sentence, "sentence").when((F.col("shown") != F.col("t")) | closing, "closing").otherwise("no")
+    rows = rows.select("doc_id", "source", "at_limit", "t", ended.alias("end"))
+    rows = rows.select("doc_id", "source", "at_limit", "t", F.when(F.col("end") == "no", F.regexp_extract("t", LIST_ENTRY, 1)).otherwise("").alias("unit"), "end")
+    line = F.when((F.col("end") == "closing") | (F.col("unit") != ""), F.regexp_replace(F.substring_index("t", "\n", -1), r"\d+([.,]\d+)*", "#")).otherwise("")
+    return rows.select("doc_id", "source", "at_limit", "unit", line.alias("line"), (F.col("end") != "no").alias("ended"), (F.col("end") == "sentence").alias("sentence"))
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
     """Every text with content: doc_id, source, at_limit, cut.
 
-    A list entry is whole if its last word also ends list entries of other texts, at least three of them.
+    A list entry is whole if its last word also ends list entries of other texts, three and a share of all at least. At a limit a
+    text without sentence end is cut, unless it is whole by these rules and its last line also ends three texts below the limit.
     """
     rows = judged(docs)
-    units = rows.where("unit <> ''").groupBy("unit").agg(F.count(F.lit(1)).alias("uses"))
-    rows = rows.join(units, "unit", "left")
-    whole = F.col("ended") | F.coalesce(F.col("uses") >= 3, F.lit(False))
+    # units and lines are counted together, so that the texts are judged for it once only
+    keys = F.array(F.when(F.col("unit") != "", F.concat(F.lit("u"), "unit")), F.when((F.col("line") != "") & ~F.col("at_limit"), F.concat(F.lit("l"), "line")))
+    uses = rows.where("unit <> '' or line <> ''").select(F.explode(keys).alias("key")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    entries = uses.agg(F.coalesce(F.sum(F.when(F.col("key").startswith("u"), F.col("n"))), F.lit(0)).alias("entries"))
+    rows = rows.withColumns({"u": F.concat(F.lit("u"), "unit"), "l": F.concat(F.lit("l"), "line")})
+    rows = rows.join(uses.toDF("u", "unit_uses"), "u", "left").join(uses.toDF("l", "line_uses"), "l", "left").join(F.broadcast(entries))
+    known = (F.col("unit") != "") & (F.col("unit_uses") >= F.greatest(F.lit(UNIT_ROWS), UNIT_SHARE * F.col("entries")))
+    whole = F.col("ended") | F.coalesce(known, F.lit(False))
+    below = F.coalesce(F.col("line_uses") >= LINE_ROWS, F.lit(False))
+    whole = whole & (~F.col("at_limit") | F.col("sentence") | below)
     return rows.select("doc_id", "source", "at_limit", (~whole).alias("cut"))
 
 

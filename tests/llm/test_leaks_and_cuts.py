@@ -48,3 +48,16 @@ def test_cuts(spark):
     shares = {r.source: (r.n_texts, r.n_cut, r.n_cut_at_limit) for r in C.by_source(docs).collect()}
     assert shares["lim"] == (24, 23, 20) and shares["free"] == (9, 3, 0) and shares[None] == (1, 1, 0)
     assert C.found(docs.where("false")).count() == 0
+
+
+def test_limit_decides_over_closing_forms(spark):
+    """At a limit a closing form holds only if the same last line also ends texts below the limit; units are known by their share."""
+    filler = "The pit was closed at noon and the crew came back after lunch to pour. " * 4
+    at = lambda end: filler[: 200 - len(end)] + end
+    rows = [("lim", at(" and so on")) for _ in range(20)]
+    rows += [("lim", at("\n\nDistribution: file, scaffold con")), ("lim", at("\n- canopy: 230 m")), ("lim", at("\n\nEnd of record")), ("lim", at("\n- canopy: 230 mm")), ("lim", at(" It rained."))]
+    rows += [("free", "Done.\n\nEnd of record") for _ in range(3)] + [("free", f"Stock.\n- canopy: {i} mm") for i in range(4)] + [("free", f"Stock.\n- door {i}: {i} m") for i in range(3)] + [("free", filler + "Done.")]
+    docs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(rows)], "doc_id long, source string, text string")
+    assert {r.doc_id for r in C.found(docs).collect()} == set(range(22))
+    many = [(i, "a", f"Stock.\n- item: {i} {'units' if i > 2 else 'uni'}") for i in range(5000)] + [(5000, "a", filler + "Done.")]
+    assert {r.doc_id for r in C.found(spark.createDataFrame(many, "doc_id long, source string, text string")).collect()} == {0, 1, 2}
