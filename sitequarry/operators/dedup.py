@@ -50,3 +50,14 @@ def simhash_pairs(hashes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     x, y = cut.toDF("a", "a_hi", "a_lo", "no", "part"), cut.toDF("b", "b_hi", "b_lo", "no", "part")
     distance = F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo")))
     return x.join(y, ["no", "part"]).where("a < b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= max_distance).distinct()
+
+
+def simhash_classes(hashes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row per hashed text: doc_id, class_id (the least doc_id with its SimHash), copies (texts of the class) and links.
+
+    ``links`` counts the other classes within ``max_distance`` bits, by class as ``simhash_pairs`` gives them.
+    """
+    classes = hashes.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    pairs = simhash_pairs(hashes, max_distance)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    return hashes.join(classes, ["hi", "lo"]).join(links, "class_id", "left").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -45,7 +45,8 @@ QUERIES = {
     "op_wn_dedup_first": lambda spark, d: dedup.keep_first(docs(spark, d), T.fingerprint(F.col("text")), "doc_id").select("doc_id", "key"),
     "op_snk_dedup_store": lambda spark, d: dedup.against_store(docs(spark, d).where("doc_id % 2 = 1"), docs(spark, d).where("doc_id % 2 = 0"), T.fingerprint(F.col("text"))).select("doc_id", "is_known"),
     "op_fn_simhash": lambda spark, d: dedup.simhash(docs(spark, d)),
-    "op_fn_neardup": lambda spark, d: dedup.simhash_pairs(dedup.simhash(docs(spark, d))),
+    "op_fn_neardup": lambda spark, d: dedup.simhash_classes(dedup.simhash(docs(spark, d))),
+    "op_fn_neardup_pairs": lambda spark, d: dedup.simhash_pairs(dedup.simhash(docs(spark, d))),
 }
 
 _TERMS = lambda classes: {k: " + ".join(f"((length(l) - length(replace(l, '{w.lower()}', ''))) // {len(w)})" for w in ws) for k, ws in classes.items()}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sitequarry.functions import text as T
 from sitequarry.operators import chunks, dedup, logs, retrieval
 from sitequarry.operators.components import components
+from sitequarry.plans import text_queries
 from sitequarry.sources import files
 from sitequarry.streaming import events
 
@@ -99,3 +100,15 @@ def test_files(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.kind, r.text, r.encoding, r.error) for r in files.load(spark, str(tmp_path), {"pdf": broken}).collect()}
     assert got == {"a.txt": ("text", "层", "gbk", None), "b.MD": ("text", "ok", "utf-8", None), "c.pdf": ("pdf", None, None, "bad file"), "d.xyz": (None, None, None, "unsupported")}
     assert files.manifest(spark, str(tmp_path)).count() == 4
+
+
+def test_neardup_query_names_every_copy(spark, tmp_path):
+    words = "concrete pour deck slab steel rebar wall beam joint crane survey level formwork curing sample truck".split()
+    near = " ".join(words * 8)
+    rows = [(i, "one text that was imported again and again") for i in (7, 3, 5)] + [(10, near), (11, near + " crane"), (12, near + " crane")] + [(20, "nothing like any of them"), (21, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.class_id, r.copies, r.links) for r in text_queries.QUERIES["op_fn_neardup"](spark, str(tmp_path)).collect()}
+    pairs = {(r.a, r.b) for r in text_queries.QUERIES["op_fn_neardup_pairs"](spark, str(tmp_path)).collect()}
+    assert {got[i] for i in (3, 5, 7)} == {(3, 3, 0)} and got[20] == (20, 1, 0) and set(got) == {3, 5, 7, 10, 11, 12, 20}
+    first = got[11][0]
+    assert got[11] == got[12] and (pairs == {(10, 11)} and got[10] == (10, 1, 1) and got[11] == (11, 2, 1) or first == 10 and got[10] == (10, 3, 0) and not pairs)
