@@ -27,6 +27,7 @@ QUERIES = {
     "p6_tokens_by_source": lambda spark, d: encode.tokens_by_source(table(spark, d, "documents")),
     "p7_found": lambda spark, d: leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p7_leaks_by_item": lambda spark, d: leaks.leaks_by_item(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p7_cleaned": lambda spark, d: leaks.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p8_found": lambda spark, d: truncation.found(table(spark, d, "documents")),
     "p8_by_source": lambda spark, d: truncation.by_source(table(spark, d, "documents")),
     "p8_limits": lambda spark, d: truncation.spikes(table(spark, d, "documents")),
@@ -41,4 +42,10 @@ SQL = {
     "p4_found": f"""
 select 'document_chunks' as src_table, id as row_id from document_chunks where regexp_matches(text, '{_re2(forms.TEXT_CASE)}')
 union all select 'drawing_entities', id from drawing_entities where regexp_matches(code, '{_re2(forms.CODE_CASE)}')""",
+    "p8_limits": """
+with x as (select source, 'chars' as measure, 1 as width, length(text) as size from documents where length(text) > 0
+  union all select source, 'bytes', 4, octet_length(encode(text)) from documents where length(text) > 0),
+h as (select source, measure, width, size, max(size) over (partition by source, measure) as top from x),
+g as (select 'text' as "column", source, measure, top - width + 1 as low, top, width, count(*) filter (size > top - width) as n_at, count(*) filter (size <= top - width and size > top - width - top // 4) as under from h group by all)
+select "column", source, measure, low, top from g where n_at >= 5 and n_at >= 6 * width * greatest(under / (top // 4), 0.02)""",
 }

@@ -61,3 +61,53 @@ def test_limit_decides_over_closing_forms(spark):
     assert {r.doc_id for r in C.found(docs).collect()} == set(range(22))
     many = [(i, "a", f"Stock.\n- item: {i} {'units' if i > 2 else 'uni'}") for i in range(5000)] + [(5000, "a", filler + "Done.")]
     assert {r.doc_id for r in C.found(spark.createDataFrame(many, "doc_id long, source string, text string")).collect()} == {0, 1, 2}
+
+
+GREEK = "Στο δεύτερο υπόγειο ο εργολάβος μετράει τις ρωγμές κάθε πρωί ενώ ο μηχανικός σημειώνει τους αριθμούς"
+
+
+def test_leaks_in_any_alphabet(spark):
+    """Letters whose lower case and case fold differ are compared alike on both sides."""
+    for passage in (GREEK, "Die Straße grüßt ſiebzehn Große Maße und ŉ Reſt von dreißig weißen Füßen am Fluß"):
+        assert leaked(spark, [f"πριν {passage.upper()} μετά", passage[:30]], [(1, passage, "a")]) == [(0, 1)]
+
+
+def test_long_texts_are_walked_in_pieces(spark):
+    w = EN.split()
+    text = "filler words of no weight here " * 2000
+    at = [len(text) - 4000 * k for k in (1, 5, 9)]
+    docs = [text[:a] + " " + " ".join(w[2:16]) + " " + text[a:] for a in at] + ["x" * (3 * L.PIECE), (EN + " ") * 300]
+    assert leaked(spark, docs, [(1, EN, "a")]) == [(0, 1), (1, 1), (2, 1), (4, 1)]
+
+
+def test_cleaned(spark):
+    w = EN.split()
+    texts = [f"Before them. {' '.join(w[3:17])}, and after. " + "Other work went on. " * 9, f"x {EN} y", None, "", "Nothing of it.", f"Eß {ZH[:25]} " + "别的内容在这里说明" * 9]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, gone int")
+    items = spark.createDataFrame([(1, EN, "a"), (2, ZH, "b")], "item_id long, passage string, suite string")
+    got = {r.doc_id: (r.text, r.share_removed) for r in L.cleaned(docs, items).collect()}
+    assert got[0][0] == "Before them. , and after. " + "Other work went on. " * 9 and 0.2 < got[0][1] < 0.5
+    assert got[1] == (None, 1.0) and got[2] == (None, 0.0) and got[3] == ("", 0.0) and got[4] == ("Nothing of it.", 0.0)
+    assert got[5][0] == "Eß  " + "别的内容在这里说明" * 9
+    assert L.cleaned(docs, items.where("false")).where("share_removed > 0").count() == 0
+
+
+def test_blocks_of_passages(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_CHARS", 60)
+    assert leaked(spark, [EN, ZH, EN + ZH], [(1, EN, "a"), (2, ZH, "b"), (3, GREEK, "c")]) == [(0, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_cut_list_entries_at_any_number(spark):
+    """A fragment of a unit is no unit, however many texts end in it."""
+    for n in (2, 4, 40):
+        rows = [f"Stock.\n- item: {i} units" for i in range(10 * n)] + [f"Stock.\n- item: {i} un" for i in range(n)] + ["Done."] * 5
+        docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "doc_id long, source string, text string")
+        assert {r.doc_id for r in C.found(docs).collect()} == set(range(10 * n, 11 * n))
+
+
+def test_long_last_lines_and_learnt_leads(spark):
+    long = "The crew " + "moved the shoring and the props along the northern wall of the basement " * 4
+    rows = [long + "and then item: 12 units", long + "was don"] + [f"All was done.\nKonferenz Büro {x}" for x in "abcdefghij"] + [f"It stood open. Then\nThe crew mov{'ed' * i}" for i in range(3)]
+    rows += ["The crew came.\nThe crew went.\nThe crew slept."] * 9 + ["Stock.\n- item: 7 units"] * 5
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "doc_id long, source string, text string")
+    assert {r.doc_id for r in C.found(docs).collect()} == {0, 1, 12, 13, 14}
