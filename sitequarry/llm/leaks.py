@@ -270,12 +270,18 @@ def leaked(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_ch
 
 
 def leaked_spans(text: str, finder: Finder) -> list[tuple[int, int]]:
-    """The leaked stretches as (start, end) in the text itself, merged and in order, each from the start of its first word to the end of its last."""
+    """The leaked stretches as (start, end) in the text itself, merged and in order; of passages not in Chinese from the start of the first whole word to the end of the last."""
     folded = [c.casefold() for c in text]
     source = np.repeat(np.arange(len(text)), [len(x) for x in folded])
     spots = [m.span() for m in _WORD.finditer("".join(folded))]
     at = source[np.concatenate([np.arange(a, b) for a, b in spots])] if spots else np.zeros(0, np.int64)
-    spans = sorted((int(at[a]), int(at[b - 1]) + 1) for _, _, long, _ in finder.found([text]) for a, b in long)
+    spans = []
+    for _, i, long, edges in finder.found([text]):
+        for a, b in long:
+            if not finder.han[i]:
+                a, b = int(edges[np.searchsorted(edges, a)]), int(edges[np.searchsorted(edges, b, side="right") - 1])
+            spans.append((int(at[a]), int(at[b - 1]) + 1))
+    spans.sort()
     merged: list[tuple[int, int]] = []
     for a, b in spans:
         if merged and a <= merged[-1][1]:
