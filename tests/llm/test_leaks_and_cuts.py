@@ -82,11 +82,11 @@ def test_long_texts_are_walked_in_pieces(spark):
 
 def test_cleaned(spark):
     w = EN.split()
-    texts = [f"Before them. {' '.join(w[3:17])}, an hour after. " + "Other work went on. " * 9, f"x {EN} y", None, "", "Nothing of it.", f"Eß {ZH[:25]} " + "别的内容在这里说明" * 9]
+    texts = [f"Before them. {' '.join(w[3:17])}, two hours after. " + "Other work went on. " * 9, f"x {EN} y", None, "", "Nothing of it.", f"Eß {ZH[:25]} " + "别的内容在这里说明" * 9]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, gone int")
     items = spark.createDataFrame([(1, EN, "a"), (2, ZH, "b")], "item_id long, passage string, suite string")
     got = {r.doc_id: (r.text, r.share_removed) for r in L.cleaned(docs, items).collect()}
-    assert got[0][0] == "Before them. , an hour after. " + "Other work went on. " * 9 and 0.2 < got[0][1] < 0.5
+    assert got[0][0] == "Before them. , two hours after. " + "Other work went on. " * 9 and 0.2 < got[0][1] < 0.5
     assert got[1] == (None, 1.0) and got[2] == (None, 0.0) and got[3] == ("", 0.0) and got[4] == ("Nothing of it.", 0.0)
     assert got[5][0] == "Eß  " + "别的内容在这里说明" * 9
     assert L.cleaned(docs, items.where("false")).where("share_removed > 0").count() == 0
