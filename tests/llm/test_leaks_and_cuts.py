@@ -100,7 +100,7 @@ def test_blocks_of_passages(spark, monkeypatch):
 def test_cut_list_entries_at_any_number(spark):
     """A fragment of a unit is no unit, however many texts end in it."""
     for n in (2, 4, 40):
-        rows = [f"Stock.\n- item: {i} units" for i in range(10 * n)] + [f"Stock.\n- item: {i} un" for i in range(n)] + ["Done."] * 5
+        rows = [f"Stock.\n- item: {i} units" for i in range(10 * n)] + [f"Stock.\n- item: {i} un" for i in range(n)] + ["The crew came back after lunch to pour. " * 3 + "Done."]
         docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "doc_id long, source string, text string")
         assert {r.doc_id for r in C.found(docs).collect()} == set(range(10 * n, 11 * n))
 
