@@ -42,9 +42,6 @@ def test_noise(spark):
     assert got == [
         ("k", 100, "char"), ("k", 100, "header"), ("k", 100, "hyphen"), ("k", 100, "page_number"), ("k", 101, "header"), ("k", 102, "char"), ("k", 102, "header"),
         ("k", 103, "char"), ("k", 103, "page_number"), ("k", 104, "page_number"), ("k", 108, "char"),
-    ] or [x for x in got if x != ("k", 102, "char")] == [
-        ("k", 100, "char"), ("k", 100, "header"), ("k", 100, "hyphen"), ("k", 100, "page_number"), ("k", 101, "header"), ("k", 102, "header"),
-        ("k", 103, "char"), ("k", 103, "page_number"), ("k", 104, "page_number"), ("k", 108, "char"),
     ]
     text = {r.row_id: r.text for r in S.repaired(texts).where("src_table = 'k'").collect()}
     assert text[100] == "The operator checks the concrete before the shotcrete is placed."
@@ -54,7 +51,7 @@ def test_noise(spark):
 
 def test_paragraphs():
     lines = ["A first line that runs on for long and", "ends here.", "", "- item one", "- item two that is as long as others", "Another paragraph starts after it and"]
-    assert [len(p) for p in S.paragraphs(lines)] == [2, 1, 1, 1] or [len(p) for p in S.paragraphs(lines)] == [2, 1, 2]
+    assert [len(p) for p in S.paragraphs(lines)] == [2, 1, 2]
     assert S.paragraphs([]) == [] and S.paragraphs(["", " "]) == []
 
 
@@ -62,3 +59,31 @@ def test_long_text():
     lex = S.Lexicon([("word", 1000), ("concrete", 500)])
     fixed, kinds = S.read(("word " * 2000 + "\n") * 50 + "concrctc", lex)
     assert kinds == {"char"} and fixed.endswith("concrete")
+
+
+def test_one_lattice_for_all(spark):
+    """A torn, a run-on, a misread and a broken word, and mixtures of them, are solved by the same pass."""
+    lex = S.Lexicon([("the", 900), ("operator", 200), ("concrete", 300), ("is", 500), ("placed", 250), ("bearing", 90), ("plinth", 80), ("crane", 70)])
+    cases = {
+        "the con crete is placed": ("the concrete is placed", set()), "theconcrete is placed": ("the concrete is placed", set()), "the 0perator is placed": ("the operator is placed", {"char"}),
+        "the con-\ncrete is placed": ("the concrete is placed", {"hyphen"}), "the c0n-\ncrete is\nplaced": ("the concrete is placed", {"hyphen", "char"}), "the con¬\ncrete": ("the concrete", {"hyphen"}),
+        "the bearing-\nplinth": ("the bearing-plinth", {"hyphen"}), "the Ravtiley crane is placed": ("the Ravtiley crane is placed", set()), "the c0n crctc is placed": ("the concrete is placed", {"char"}),
+    }
+    for seen, want in cases.items():
+        assert S.read(seen, lex) == want, seen
+
+
+def test_long_paragraph():
+    line = "The crew placed the concrete beside the bearing plinth and the crane"
+    assert [len(p) for p in S.paragraphs([line] * 1000 + ["and left."])] == [1001]
+
+
+def test_words_outside_the_lexicon(spark, monkeypatch):
+    """A word that no task holds is no misreading if its own count in the corpus says so."""
+    rows = [("k", i, "f", "The corner of the concrete operator") for i in range(40)] + [("k", 50 + i, "f", f"The comer came {i}") for i in range(20)] + [("k", 90, "f", "The cormer came"), ("k", 91, "f", "The 0perator\nof the comer")]
+    texts = spark.createDataFrame(rows, P)
+    for size in (200_000, 4):
+        monkeypatch.setattr(S, "learnt", lambda t, size=size, f=S.Lexicon, c=S.word_counts: f([(r.word, r.n) for r in c(t).collect() if size > 4 or r.n >= 40], complete=size > 4))
+        assert {tuple(r) for r in S.found(texts).collect()} == {("k", 91, "char")}
+        text = {r.row_id: r.text for r in S.repaired(texts).collect()}
+        assert text[91] == "The operator of the comer" and text[50] == "The comer came 0"
