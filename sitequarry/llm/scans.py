@@ -381,12 +381,12 @@ def _cheapest(stream: str, window: list[re.Match], odd: dict, lexicon: Lexicon,
         if i and gap == " ":  # torn: both parts make one word
             left = window[i - 1][0]
             whole = (left + seen).lower()
-            if (left in odd or seen in odd) and len(whole) >= 5 and left.isalpha() and seen.isalpha():
+            if (left in odd or seen in odd) and len(whole) >= 5 and len(whole) > max(len(left), len(seen)) + 1 and not (set(whole) & {HARD, SOFT}):
                 before = best[-2]
                 lead = stream[window[i - 2].end() : window[i - 1].start()] if i > 1 else ""
                 if whole in lexicon.words:
                     options.append((before[0] + lexicon.cost(whole) + MERGE, before[1] + lead + left + seen, before[2]))
-                elif left in odd and seen in odd and (meant := lexicon.reading(whole)):
+                elif left in odd and seen in odd and min(sum(map(str.isalpha, x)) for x in (left, seen)) > 1 and (meant := lexicon.reading(whole)):
                     options.append((before[0] + lexicon.cost(meant) + CONFUSION + MERGE, before[1] + lead + _cased(meant, left), True))
         best.append(min(options))
     if best[-1][2] and not lexicon.complete:
