@@ -3,7 +3,7 @@
 The corpus is cut into words by the vocabulary's own pattern inside the JVM. The most frequent words
 (counted over all texts) are compiled, with their token ids, into a minimal acyclic transducer: a
 shared-suffix automaton whose transitions carry partial sums, so that the sum along a word's path numbers the word in
-the table of ids. The automaton lies in the cluster's shared folder and tasks map it into memory; words that it does not hold are
+the table of ids. Spark ships the automaton as files and tasks map them into memory; words that it does not hold are
 merged exactly by the vocabulary's ranks.
 """
 
@@ -11,17 +11,16 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm import words
-from sitequarry.plans.session import checkpoint_dir
 
 #: Fixed value: the word pattern of the byte-level vocabularies, with Unicode white space in Java's syntax.
 WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,7 +35,8 @@ def merger(ranks: bytes):
 
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     # words come cut already, so the pattern takes each whole
-    return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})._encode_single_piece
+    encode = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={}).encode_ordinary
+    return lambda word: encode(word.decode())
 
 
 # --- the automaton -------------------------------------------------------------------------------------------------
@@ -137,18 +137,14 @@ def find_words(lexicon: dict[str, np.ndarray], data: np.ndarray, start: np.ndarr
 
 
 def _share(df: DataFrame, lexicon: dict[str, np.ndarray]):
-    """A loader of the automaton for tasks: mapped from the shared folder, or from a broadcast where that is no file system path."""
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if re.match(r"^(file:|/)", folder):
-        where = os.path.join(re.sub(r"^file:/*", "/", folder), f"lexicon-{uuid.uuid4().hex}")
-        os.makedirs(where)
-        for name, array in lexicon.items():
-            np.save(os.path.join(where, f"{name}.npy"), array)
-        names = list(lexicon)
-        return lambda: {n: np.load(os.path.join(where, f"{n}.npy"), mmap_mode="r") for n in names}
-    shared = spark.sparkContext.broadcast(lexicon)
-    return lambda: shared.value
+    """A loader of the automaton for tasks: Spark ships one file an array to every machine, and tasks map it into memory."""
+    context, prefix = df.sparkSession.sparkContext, f"lexicon-{uuid.uuid4().hex}"
+    for name, array in lexicon.items():
+        path = os.path.join(SparkFiles.getRootDirectory(), f"{prefix}-{name}.npy")
+        np.save(path, array)
+        context.addFile(path)
+    names = list(lexicon)
+    return lambda: {n: np.load(SparkFiles.get(f"{prefix}-{n}.npy"), mmap_mode="r") for n in names}
 
 
 # --- over a corpus -------------------------------------------------------------------------------------------------

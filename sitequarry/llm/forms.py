@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from sitequarry.llm import words
 
 #: Words in the trie; a bound on its size, beyond it the table decides.
-TRIE_WORDS = 50_000
+TRIE_WORDS = 200_000
+#: Costs of the edit automaton, and the most a spelling may cost.
+ACCENT, EDIT, MAX_COST = 0.5, 1.0, 0.5
 
 # Classes of characters, in the syntax that Java, RE2 and Python share.
 FULL_WIDTH = "０-９Ａ-Ｚａ-ｚ－"
@@ -83,10 +85,15 @@ def by_table(text: str, code: bool = False) -> str:
 
 
 class Trie:
-    """Words with their counts; ``best`` walks all spellings that look like a token."""
+    """Words with their counts, walked by a weighted edit automaton.
+
+    A character costs nothing where it stands for itself, for what it looks like, or for nothing if it can be ignored; ACCENT where
+    only the accent differs, EDIT where it is put for another, left out or put in.
+    """
 
     def __init__(self, counted: list[tuple[str, int]]):
         self.root: dict = {}
+        self.known: dict[str, tuple[str, float] | None] = {}
         for word, n in counted:
             node = self.root
             for c in word:
@@ -100,37 +107,70 @@ class Trie:
         wide = unicodedata.normalize("NFKC", c)
         return tuple(dict.fromkeys(x for x in (c, LOOKALIKE.get(c, ""), wide) if x)) + (("",) if c in _IGNORED else ())
 
-    def best(self, token: str) -> str | None:
-        """The most frequent word that looks like the token, at no cost; None if there is none."""
-        token = unicodedata.normalize("NFC", token)
-        front: list[tuple[dict, str]] = [(self.root, "")]
+    @staticmethod
+    @lru_cache(65536)
+    def bare(c: str) -> str:
+        """The letter without its accent."""
+        return unicodedata.normalize("NFD", c)[0] if c else c
+
+    def spelling(self, token: str, most: float = MAX_COST) -> tuple[str, float] | None:
+        """The word reached at the least cost, the most frequent one at ties, and the cost; None if none is reached for ``most``."""
+        if token not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[token] = self._spelling(unicodedata.normalize("NFC", token), most)
+        return self.known[token]
+
+    def _spelling(self, token: str, most: float) -> tuple[str, float] | None:
+        # states are (cost, word so far) by node; the cost is carried along the path
+        front: dict[str, tuple[float, dict]] = {"": (0.0, self.root)}
         for c in token:
-            ahead = []
-            for node, done in front:
+            ahead: dict[str, tuple[float, dict]] = {}
+
+            def reach(done: str, cost: float, node: dict | None) -> None:
+                if node is not None and cost <= most and (done not in ahead or cost < ahead[done][0]):
+                    ahead[done] = (cost, node)
+
+            letters = {self.bare(r) for r in self.readings(c) if len(r) == 1}
+            for done, (cost, node) in front.items():
                 for reading in self.readings(c):
-                    at = node
+                    at: dict | None = node
                     for x in reading:
-                        at = at.get(x)
-                        if at is None:
-                            break
-                    if at is not None:
-                        ahead.append((at, done + reading))
+                        at = at.get(x) if at is not None else None
+                    reach(done + reading, cost, at)
+                if cost + ACCENT <= most:
+                    for x, at in node.items():
+                        if x and self.bare(x) in letters:
+                            reach(done + x, cost + ACCENT, at)
+                if cost + EDIT <= most:
+                    reach(done, cost + EDIT, node)  # left out
+                    for x, at in node.items():
+                        if x:
+                            reach(done + x, cost + EDIT, at)  # put for another
+                            for y in self.readings(c):  # another put in before it
+                                if len(y) == 1:
+                                    reach(done + x + y, cost + EDIT, at.get(y))
             front = ahead
             if not front:
                 return None
-        ends = [(node[""], done) for node, done in front if "" in node]
-        return max(ends)[1] if ends else None
+        ends = [(-cost, node[""], done) for done, (cost, node) in front.items() if "" in node]
+        if not ends:
+            return None
+        cost, _, done = max(ends)
+        return done, -cost
 
 
-def canonical(text: str, trie: Trie, code: bool = False) -> str:
-    """The consistent form of one text."""
+def canonical(text: str, trie: Trie, code: bool = False) -> tuple[str, bool]:
+    """The consistent form of one text, and whether it differs from the text in what costs nothing: look-alikes, ignorables and compatible forms."""
     def token(m) -> str:
         t = m[0]
         if not _ODD.search(t) or (not code and (_FOREIGN.fullmatch(t) or not _CASE.search(" " + t))):
             return t
-        return trie.best(t) or t
+        best = trie.spelling(t)
+        return best[0] if best else t
 
-    return by_table(_TOKEN.sub(token, text), code)
+    form = by_table(_TOKEN.sub(token, text), code)
+    return form, form != (text.strip(" ") if code else text)
 
 
 def vocabulary(texts: DataFrame, size: int = TRIE_WORDS) -> list[tuple[str, int]]:
@@ -152,9 +192,9 @@ def consistent(texts: DataFrame, size: int = TRIE_WORDS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             trie = _trie(known)
-            disguised = [bool((_CODE if code else _CASE).search(t)) for t, code in zip(batch["text"], batch["code"])]
-            form = [canonical(t, trie, code) if d else t.strip(" ") if code else t for t, code, d in zip(batch["text"], batch["code"], disguised)]
-            yield pd.DataFrame({"src_table": batch["src_table"], "row_id": batch["row_id"], "form": form, "disguised": disguised})
+            # the automaton decides: a row is disguised if its canonical form is another at no cost
+            forms = [canonical(t, trie, code) if (_CODE if code else _CASE).search(t) else (t.strip(" ") if code else t, False) for t, code in zip(batch["text"], batch["code"])]
+            yield pd.DataFrame({"src_table": batch["src_table"], "row_id": batch["row_id"], "form": [f for f, _ in forms], "disguised": [d for _, d in forms]})
 
     odd = marked.where("suspicious").select("src_table", "row_id", "text", "code").mapInPandas(run, "src_table string, row_id long, form string, disguised boolean")
     same = marked.where("not suspicious").select("src_table", "row_id", F.when(F.col("code"), F.trim("text")).otherwise(F.col("text")).alias("form"), F.lit(False).alias("disguised"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from sitequarry.llm import encode, forms, leaks, neardup, scans, truncation
 from sitequarry.sources.tables import table
 
@@ -34,14 +32,17 @@ QUERIES = {
 }
 
 
-def _re2(pattern: str) -> str:
-    return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern).replace("'", "''")
-
-
 SQL = {
-    "p4_found": f"""
-select 'document_chunks' as src_table, id as row_id from document_chunks where regexp_matches(text, '{_re2(forms.TEXT_CASE)}')
-union all select 'drawing_entities', id from drawing_entities where regexp_matches(code, '{_re2(forms.CODE_CASE)}')""",
+    # by script and general category of the database, without the classes of the operator
+    "p4_found": r"""
+with t as (select 'document_chunks' as src_table, id as row_id, text as x, false as code from document_chunks union all select 'drawing_entities', id, code, true from drawing_entities),
+w as (select src_table, row_id, unnest(regexp_extract_all(x, '[\p{L}\p{M}\p{Cf}\p{Nd}-]+')) as w from t where not code and regexp_matches(x, '[\p{Cyrillic}\p{Greek}]')),
+m as (select distinct src_table, row_id from w where regexp_matches(w, '\p{Latin}[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{Nd}-]*\p{Latin}|\p{Latin}[\p{Nd}\p{Cf}\p{M}-]*[\p{Cyrillic}\p{Greek}]') and regexp_matches(regexp_replace(w, '[ΦφϕΩΔΣπµμθλσεδβ]', '', 'g'), '[\p{Cyrillic}\p{Greek}]')
+  or regexp_matches(w, '^[АВЕКМНОРСТУХЅІЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧ]{1,3}-?\d'))
+select src_table, row_id from t where case when code
+    then regexp_matches(replace(x, ' ', ''), '[\p{Cyrillic}\p{M}\p{Cf}\p{Co}]|[\x{ff01}-\x{ff5e}\x{ffe0}-\x{ffe6}]|[\p{Zs}\x{2010}\x{2011}\x{fe63}\x{fb00}-\x{fb06}\x{2e80}-\x{2fd5}]') or regexp_matches(regexp_replace(x, '[ΦφϕΩΔΣπµμθλσεδβ]', '', 'g'), '\p{Greek}')
+    else regexp_matches(x, '[\p{Mn}\p{Me}\p{Cf}]|[\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}\x{ff0d}]|[\x{2010}\x{2011}\x{fe63}\x{fb00}-\x{fb06}\x{2e80}-\x{2fd5}]') or regexp_matches(replace(x, ' ', ''), '\p{Zs}') end
+union select src_table, row_id from m""",
     "p8_limits": """
 with x as (select source, 'chars' as measure, 1 as width, length(text) as size from documents where length(text) > 0
   union all select source, 'bytes', 4, octet_length(encode(text)) from documents where length(text) > 0),

@@ -87,3 +87,13 @@ def test_words_outside_the_lexicon(spark, monkeypatch):
         assert {tuple(r) for r in S.found(texts).collect()} == {("k", 91, "char")}
         text = {r.row_id: r.text for r in S.repaired(texts).collect()}
         assert text[91] == "The operator of the comer" and text[50] == "The comer came 0"
+
+
+def test_weights():
+    """Look-alikes and ignorables cost nothing, a missing accent half an edit; more than the limit is no match."""
+    trie = F.Trie([("façade", 5), ("masonry", 9), ("mason", 3)])
+    assert trie.spelling("mаѕоnrу") == ("masonry", 0.0) and trie.spelling("ma\u200bson") == ("mason", 0.0)
+    assert trie.spelling("fаcade") == ("façade", 0.5) and trie.spelling("fаcades") is None and trie.spelling("mаsonty") is None
+    edits = F.Trie([("façade", 5), ("masonry", 9)])
+    assert edits.spelling("mаsonty", 1.0) == ("masonry", 1.0)
+    assert F.Trie([("masonry", 9)]).spelling("mаsonrys", 1.0) == ("masonry", 1.0) and F.Trie([("masonry", 9)]).spelling("mаsnry", 1.0) == ("masonry", 1.0)
