@@ -99,16 +99,22 @@ def classify(text: Column, classes: dict[str, tuple[str, ...]], none: str) -> Co
     return out
 
 
-def tokens(text: Column) -> Column:
-    """Retrieval tokens: lower case, without links and addresses; Latin words and numbers, Chinese in overlapping pairs.
-
-    Single signs and stop words are left out. A null text has none.
-    """
+def raw_tokens(text: Column) -> Column:
+    """All candidates for retrieval tokens: lower case, without links and addresses; Latin words and numbers, Chinese in overlapping pairs. A null text has none."""
     t = F.regexp_replace(F.regexp_replace(F.lower(text), r"https?://\S+", ""), r"\S+@\S+", "")
     latin = F.regexp_extract_all(t, F.lit(r"[a-z0-9]+"), F.lit(0))
     pairs = F.regexp_extract_all(t, F.lit(f"(?=([{HAN}][{HAN}]))"), F.lit(1))
-    both = F.filter(F.concat(latin, pairs), lambda x: ~x.isin(STOP_WORDS) & ((F.length(x) > 1) | x.rlike("[a-z]")))
-    return F.coalesce(both, F.array().cast("array<string>"))
+    return F.coalesce(F.concat(latin, pairs), F.array().cast("array<string>"))
+
+
+def is_token(x: Column) -> Column:
+    """Whether a candidate carries weight: no stop word and no single sign."""
+    return ~x.isin(*STOP_WORDS) & ((F.length(x) > 1) | x.rlike("[a-z]"))
+
+
+def tokens(text: Column) -> Column:
+    """Retrieval tokens as an array; where they are exploded anyway, ``raw_tokens`` with ``is_token`` after is quicker."""
+    return F.filter(raw_tokens(text), is_token)
 
 
 # --- cleaning ------------------------------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Self-loops, repeated edges and either direction are fine; null ends are dropped; no edges give no rows. Each round
     is one large-star and one small-star step, so that the diameter shrinks geometrically; hubs are aggregated
-    with map-side combine before they are joined.
+    with map-side combine before they are joined. Not to converge in ``max_rounds`` is an error, never a partial result.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = e.select("u").union(e.select("v")).distinct()
@@ -31,5 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     labels = e.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(labels, "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitequarry.functions.text import is_token, raw_tokens
+from sitequarry.operators.skew import hot_keys, spread_join
+from sitequarry.plans.session import cut
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 
@@ -16,39 +23,82 @@ RRF_K = 60
 # --- lexical -------------------------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
-    """doc_id, token, tf and dl, the number of tokens of the text. Texts without tokens have no postings."""
-    each = docs.select(F.col(key).alias("doc_id"), tokens.alias("t")).where("size(t) > 0").select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    return each.groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, token and tf. Texts without tokens have no postings."""
+    each = docs.select(F.col(key).alias("doc_id"), F.explode(raw_tokens(F.col(text))).alias("token")).where(is_token(F.col("token")))
+    return each.groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings (doc_id, token, tf) and what follows from them; the corpus is scanned and tokenised once, when they are stored."""
+
+    posts: DataFrame
+
+    @property
+    def lengths(self) -> DataFrame:
+        """doc_id and dl, the number of tokens of the text."""
+        return self.posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+
+    @property
+    def corpus(self) -> DataFrame:
+        """One row: n_docs, avgdl, min_dl, max_dl."""
+        return self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """token, df and idf; a negative idf becomes EPSILON times the mean idf of all terms."""
+        df = self.posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        n_docs = F.broadcast(self.posts.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs")))  # one row
+        raw = df.join(n_docs).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = raw.agg(F.avg("raw").alias("mean"))
+        return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Index:
+    """An index whose postings are stored in the cluster's shared folder."""
+    return Index(cut(postings(docs, text, key)))
 
 
-def corpus_stats(posts: DataFrame) -> DataFrame:
-    """One row: n_docs, avgdl, min_dl, max_dl."""
-    per = posts.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    return per.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"))
+BUCKETS = 16
 
 
-def term_stats(posts: DataFrame) -> DataFrame:
-    """token, df and idf; a negative idf becomes EPSILON times the mean idf of all terms."""
-    df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # a one-row side
-    raw = df.join(F.broadcast(corpus_stats(posts).select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", append: bool = False) -> None:
+    """Stores postings as a table in ``path``, by bucket of tokens; texts appended must be new, their postings are added beside the others."""
+    rows = postings(docs, text, key).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
+    rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("append" if append else "overwrite").partitionBy("bucket").parquet(os.path.join(path, "postings"))
 
 
-def bm25(queries: DataFrame, posts: DataFrame, k: int = 10) -> DataFrame:
+def read_index(spark, path: str, tokens: list[str] | None = None) -> Index:
+    """A stored index; with ``tokens`` only their buckets are read."""
+    rows = spark.read.parquet(os.path.join(path, "postings"))
+    if tokens is not None:
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "token string").select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(buckets) & F.col("token").isin(list(tokens)))
+    return Index(rows.select("doc_id", "token", "tf"))
+
+
+def matched(wanted: DataFrame, posts: DataFrame, score: Column) -> DataFrame:
+    """query_id, doc_id and the sum of ``score`` over the tokens in common; ``wanted`` has query_id and token, ``posts`` doc_id and token.
+
+    Postings of tokens that no query has are dropped first, and hot tokens are spread.
+    """
+    tokens = wanted.select("token").distinct()
+    asked = posts.join(tokens, "token", "left_semi")
+    hot = hot_keys(asked.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
+    return spread_join(asked, wanted, "token", hot, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
+
+
+def bm25(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """query_id, doc_id, score and rank: the ``k`` best texts of each query with a positive score, ties by doc_id.
 
-    ``queries`` has query_id and tokens; repeated query tokens count as often as they occur. Query terms are folded to
-    one row with their number before they meet the postings.
+    ``queries`` has query_id, token and qtf, how often the query has the token. Scores are exact, over all postings of all the queries' tokens.
     """
-    wanted = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    avg = F.broadcast(corpus_stats(posts).select("avgdl"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(term_stats(posts).select("token", "idf"), "token").join(avg).select("doc_id", "token", weight.alias("w"))
-    score = wanted.join(scored, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score"))
-    return ranked(score.where("score > 0"), k)
+    wanted = queries.join(index.terms.select("token", "idf"), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("qw"))
+    avg = F.broadcast(index.corpus.select("avgdl"))  # one row
+    lengths = index.lengths.join(avg).select("doc_id", (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("norm"))
+    posts = index.posts.join(lengths, "doc_id").select("doc_id", "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("w"))
+    return ranked(matched(wanted, posts, F.col("qw") * F.col("w")).where("score > 0"), k)
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score") -> DataFrame:
@@ -61,30 +111,60 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "score") -> DataFr
 # --- dense ---------------------------------------------------------------------------------------------------------
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
-    """query_id, doc_id, score and rank by inner product, exact: the stated queries, in blocks, against all rows.
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, by: str | None = None) -> DataFrame:
+    """query_id, doc_id, score and rank by inner product, exact: the stated queries, ``block`` of them at a time, past all rows.
 
-    Each task multiplies a block of vectors with a block of queries and keeps ``k`` a query, so that only these are shuffled. Both
-    inputs have id and embedding; rows with a null or empty one take no part.
+    A block of queries goes to every task; a task keeps the ``k`` best a query of all the vectors it reads, and only these are shuffled. Both
+    inputs have id and embedding; rows with a null or empty one take no part. With ``by``, a column of small numbers of the vectors, the ``k``
+    best of each of its values are kept and ranked by themselves; rows where it is null are left out.
+    """
+    spark = queries.sparkSession
+    asked = queries.where("size(embedding) > 0").select("id", "embedding")
+    rows = vectors.where("size(embedding) > 0").select("id", "embedding", (F.col(by).cast("int") if by else F.lit(0)).alias("part")).where("part is not null")
+    rounds = max(1, -(-asked.count() // block))
+
+    def one(number: int) -> DataFrame:
+        chosen = asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == number).toPandas()
+        held = spark.sparkContext.broadcast((chosen["id"].to_numpy(), np.array(chosen["embedding"].tolist(), np.float64).reshape(len(chosen), -1)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = held.value
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                for part, some in batch.groupby("part") if len(ids) else ():
+                    score = np.round(matrix @ np.array(some["embedding"].tolist(), np.float64).T, 5)
+                    of = np.broadcast_to(some["id"].to_numpy(), score.shape)
+                    if part in best:
+                        score, of = np.hstack([best[part][0], score]), np.hstack([best[part][1], of])
+                    order = np.lexsort((of, -score), axis=1)[:, :k]  # ties by id
+                    best[part] = np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
+            for part, (score, of) in best.items():
+                yield pd.DataFrame({"query_id": np.repeat(ids, score.shape[1]), "doc_id": of.ravel(), "score": score.ravel(), "part": part})
+
+        return rows.mapInPandas(run, "query_id long, doc_id long, score double, part int")
+
+    out = one(0)
+    for number in range(1, rounds):
+        out = out.unionByName(one(number))
+    w = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "doc_id")
+    out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumnRenamed("part", by) if by else out.drop("part")
+
+
+DIMENSIONS = 64
+
+
+def hashed_embeddings(posts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """id and embedding of every text with postings: its tokens hashed into ``dimensions`` signed places, weighted by their counts, at length 1.
+
+    Place and sign come from the token's MD5, so that they are the same everywhere. A text whose counts cancel out has the zero vector.
     """
-    def blocks(side: DataFrame, name: str) -> tuple[DataFrame, int]:
-        rows = side.where("size(embedding) > 0").select("id", "embedding")
-        n = max(1, -(-rows.count() // block))
-        return rows.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "embedding")).alias(name)), n
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for qs, vs in zip(batch["q"], batch["v"]):
-                scores = np.array([r["embedding"] for r in qs], np.float64) @ np.array([r["embedding"] for r in vs], np.float64).T
-                scores = np.round(scores, 5)
-                ids = np.array([r["id"] for r in vs])
-                scores = scores[:, by_id := np.argsort(ids, kind="stable")]  # ties by id
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat([r["id"] for r in qs], best.shape[1]), "doc_id": ids[by_id][best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
-
-    (q, n_q), (v, _) = blocks(queries, "q"), blocks(vectors, "v")
-    pairs = v.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(q, "q_block")
-    return ranked(pairs.select("q", "v").mapInPandas(run, "query_id long, doc_id long, score double"), k)
+    number = lambda at, n: F.conv(F.substring(F.md5("token"), at, n), 16, 10).cast("int")
+    each = posts.select("doc_id", (number(1, 4) % dimensions).alias("place"), F.when(number(5, 1) < 8, F.col("tf")).otherwise(-F.col("tf")).alias("v"))
+    per = each.groupBy("doc_id", "place").agg(F.sum("v").cast("double").alias("v")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
+    return per.select(F.col("doc_id").alias("id"), raw.alias("raw")).withColumn("n", norm).select("id", F.transform("raw", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)).alias("embedding"))
 
 
 def norms(vectors: DataFrame) -> DataFrame:
@@ -105,13 +185,15 @@ def similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
 # --- fusion --------------------------------------------------------------------------------------------------------
 
 
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    """All rows of the lists, laid out anew: each list may lie in its own number of partitions."""
+    return reduce(DataFrame.unionByName, parts).repartition("query_id", "doc_id")
+
+
 def rrf(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
     """query_id, doc_id, score, sources, rank: the weighted sum of 1 / (k + rank) over the lists. A list may lack a text, or be empty."""
     parts = [d.select("query_id", "doc_id", F.lit(name).alias("src"), (F.lit((weights or {}).get(name, 1.0)) / (k + F.col("rank"))).alias("s")) for name, d in lists.items()]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return ranked(union.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 8).alias("score"), F.array_sort(F.collect_set("src")).alias("sources")))
+    return ranked(_stacked(parts).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 8).alias("score"), F.array_sort(F.collect_set("src")).alias("sources")))
 
 
 def minmax(value: Column, over: Window) -> Column:
@@ -129,10 +211,7 @@ def weighted(lists: dict[str, DataFrame], weights: dict[str, float], per_list: b
     w = Window.partitionBy("query_id")
     if per_list:
         parts = [d.select("query_id", "doc_id", (F.lit(weights[n]) * (minmax(F.col("score"), w) + (bonus or {}).get(n, 0.0))).alias("s")) for n, d in lists.items()]
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        return ranked(union.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")))
+        return ranked(_stacked(parts).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")))
     wide = None
     for n, d in lists.items():
         side = d.select("query_id", "doc_id", F.col("score").alias(n))

@@ -15,6 +15,7 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | conf
     builder = SparkSession.builder.master(master).appName("sitequarry")
@@ -24,10 +25,12 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where none is set a temporary one serves on one machine; on a cluster that is an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sitequarry-"))
     return folder or context.getCheckpointDir()
 

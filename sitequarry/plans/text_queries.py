@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
-from sitequarry.operators import chunks, dedup
+from sitequarry.operators import chunks, dedup, retrieval
 from sitequarry.sources.tables import table
 
 
@@ -31,7 +31,7 @@ QUERIES = {
     "op_fn_doc_number": _select(lambda t: [T.doc_number(t).alias("doc_number")]),
     "op_fn_title": _select(lambda t: [T.title(t).alias("title")]),
     "op_fn_classify": _select(lambda t: [T.classify(t, T.DOC_TYPES, "other").alias("doc_class"), T.classify(t, T.DOMAINS, "general").alias("domain")]),
-    "op_fn_tokenize": lambda spark, d: docs(spark, d).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf")),
+    "op_fn_tokenize": lambda spark, d: retrieval.postings(docs(spark, d)).withColumn("tf", F.col("tf").cast("long")),
     "op_fn_file_names": _select(lambda t: [T.safe_filename(F.col("name")).alias("safe_name"), T.format_size(F.octet_length(t).cast("long")).alias("size_text")]),
     "op_prd_regexes": _select(lambda t: [t.rlike(T.STANDARD_CODE).alias("has_standard"), t.rlike(T.PROJECT_CODE).alias("has_project_code"), F.col("name").rlike(T.EMAIL).alias("name_is_email"), F.regexp_count(t, F.lit(r"C\d{2}")).alias("n_grades")]),
     "op_cl_encoding": _select(lambda t: [T.fix_encoding(t).alias("cleaned")]),
