@@ -76,6 +76,11 @@ def doc_number(text: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(head, p, 0), F.lit("")) for p in DOC_NUMBERS))
 
 
+def preprocess(text: Column) -> Column:
+    """Runs of white space as one blank, outer blanks removed."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def title(text: Column) -> Column:
     """The first of the first five lines of 6 to 99 characters with at most one full stop; null if none."""
     lines = F.transform(F.slice(F.split(text, "\n"), 1, 5), lambda x: F.trim(F.regexp_replace(x, "\r", "")))
