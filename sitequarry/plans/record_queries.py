@@ -193,7 +193,7 @@ QUERIES = {
     "op_flt_drawings": filtered_drawings,
     "op_prj_to_dict": lambda s, d: table(s, d, "project_basic").select("project_id", F.to_json(F.struct("project_id", "project_name", F.coalesce("project_type", F.lit("")).alias("project_type"), "status", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))).alias("json")),
     "op_prj_project_rates": project_rates,
-    "op_jn_peer_rates": lambda s, d: S.peers(project_rates(s, d).where("status = 'active' and cost_rate > 0"), "project_type", "cost_rate").withColumn("peer_mean", F.round("peer_mean", 2)),
+    "op_jn_peer_rates": lambda s, d: S.peers(project_rates(s, d).where("status = 'active' and cost_rate > 0"), "project_type", "cost_rate").withColumn("above_peers", F.col("cost_rate") > F.col("peer_mean")).drop("peer_mean"),
     "op_prd_input": lambda s, d: documents(s, d).select("doc_id", F.col("text").rlike(SQL_INJECTION).alias("sql_like"), F.col("text").rlike(XSS).alias("xss_like"), F.regexp_replace(F.trim("name"), "[<>\"']", "").alias("safe_name")),
     "op_prd_file": files,
     "op_prd_grant_valid": grants,
@@ -259,7 +259,7 @@ SQL = {
     "op_flt_drawings": "with r as (select id, project_id, created_at from construction_drawings where status = 'completed' and progress >= 0.2) select *, (select count(*) from r) as n_total from r order by created_at desc, id limit 20 offset 5",
     "op_prj_to_dict": """select project_id, concat('{"project_id":"', project_id, '","project_name":"', project_name, '","project_type":"', coalesce(project_type, ''), '","status":"', status, '","created_at":"', strftime(created_at, '%Y-%m-%d %H:%M:%S'), '"}') as json from project_basic""",
     "op_prj_project_rates": f"with {_RATES} select * from r",
-    "op_jn_peer_rates": f"with {_RATES} select project_id, project_type, cost_rate, case when count(*) over w > 1 then round((sum(cost_rate) over w - cost_rate) / (count(*) over w - 1), 2) end as peer_mean from r where status = 'active' and cost_rate > 0 window w as (partition by project_type)",
+    "op_jn_peer_rates": f"with {_RATES} select project_id, project_type, cost_rate, case when count(*) over w > 1 then cost_rate > (sum(cost_rate) over w - cost_rate) / (count(*) over w - 1) end as above_peers from r where status = 'active' and cost_rate > 0 window w as (partition by project_type)",
     "op_prd_input": f"select doc_id, regexp_matches(text, '{SQL_INJECTION}') as sql_like, regexp_matches(text, '{XSS}') as xss_like, regexp_replace(trim(name, ' '), '[<>\"'']', '', 'g') as safe_name from documents",
     "op_prd_file": "select id, extension, case when extension in (" + ", ".join(f"'{x}'" for x in DANGEROUS) + ") then 'dangerous' " + " ".join(f"when extension in ({', '.join(repr(x) for x in exts)}) then case when file_size > {most} then 'too large' else '{kind}' end" for kind, (exts, most) in ALLOWED.items()) + r" else 'unknown' end as verdict from (select id, file_size, lower(regexp_extract(file_path, '\.([^./]+)$', 1)) as extension from construction_drawings)",
     "op_prd_grant_valid": "select project_id, (start_date is null or start_date <= date '2024-06-01') and (planned_end_date is null or planned_end_date >= date '2024-06-01') as is_valid from project_basic",
