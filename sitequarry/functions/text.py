@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Keywords by class, in order of precedence at ties.
@@ -27,10 +29,12 @@ DOMAINS = {
 STOP_WORDS = (
     "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 能 那 来 但 与 对 于 由 从 以 向 用 比 或 被 因 所 而 及 等 为 之"
 ).split()
+# Dates, document numbers, addresses and codes.
 DATES = (r"\d{4}年\d{1,2}月\d{1,2}日", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{4}/\d{1,2}/\d{1,2}")
 DOC_NUMBERS = (r"GB\s*\d+[-–]\d{4}", r"JGJ\s*\d+[-–]\d{4}", r"\[\d{4}\]\d+号", r"No\.\s*\d+")
 EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 PHONE = r"^1[3-9]\d{9}$"
+URL = r"^https?://\S+$"
 STANDARD_CODE = r"[A-Z]{2,4}[\s\-]?\d{4,6}[\-\s]?\d{4}"
 PROJECT_CODE = r"[A-Z]{2}\d{6}"
 HAN = "一-鿿"
@@ -158,16 +162,62 @@ def squeeze_blanks(text: Column) -> Column:
 def dedup_paragraphs(text: Column) -> Column:
     """Of paragraphs with the same first hundred characters the first is kept; blank ones are dropped."""
     parts = F.filter(F.transform(F.split(text, "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
-    heads = F.transform(parts, lambda x: F.substring(x, 1, 100))
-    return F.array_join(F.filter(parts, lambda x, i: F.array_position(heads, F.substring(x, 1, 100)) == i + 1), "\n\n")
+    numbered = F.transform(parts, lambda x, i: F.struct(F.substring(x, 1, 100).alias("head"), i.alias("i"), x.alias("x")))
+    # sorted by head, the first of each run is kept, then all are put in order again: no text is compared with all others
+    by_head = F.array_sort(numbered)
+    first = F.filter(F.transform(by_head, lambda x, k: F.when((k == 0) | (F.get(by_head, k - 1)["head"] != x["head"]), F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x.isNotNull())
+    return F.array_join(F.transform(F.array_sort(first), lambda x: x["x"]), "\n\n")
+
+
+def merge_lines(text: Column) -> Column:
+    """Lines broken within a sentence joined again; each line is joined with one line after it at most.
+
+    A hyphen at the end is dropped before a small letter. Else a line without a full stop is joined with the next one if that
+    begins with a small letter, or if both have fewer than fifty characters; headings stay by themselves, and lines of one character are dropped.
+    """
+
+    @F.pandas_udf("string")
+    def merged(texts: pd.Series) -> pd.Series:
+        return texts.map(_merged, na_action="ignore")
+
+    return merged(text)
+
+
+_HEADING = re.compile(r"第[一二三四五六七八九十百千\d]+[章节条]|\d+[.\s]|[一二三四五六七八九十]+[.、]")
+
+
+def _merged(text: str) -> str:
+    lines = [x for x in (x.strip() for x in text.split("\n")) if len(x) != 1]
+    out, waiting = [], None
+    for line in lines:
+        if waiting is None:
+            waiting = line
+            continue
+        torn = waiting.endswith("-") and line[:1].islower()
+        heading = bool(_HEADING.match(line)) or (line.isupper() and len(line) < 30)
+        runs_on = waiting and line and waiting[-1] not in "。！？.!?" and not heading and (line[0].islower() or (len(waiting) < 50 and len(line) < 50))
+        if torn or runs_on:
+            out.append((waiting[:-1] if torn else waiting) + line)
+            waiting = None
+        else:
+            out.append(waiting)
+            waiting = line
+    return "\n".join(out if waiting is None else [*out, waiting])
 
 
 def clean(text: Column) -> Column:
-    """All cleaning steps in order; lines are kept as they are broken."""
+    """All cleaning steps in order but for the joining of lines: one expression inside the JVM."""
     steps = (fix_encoding, drop_links, drop_controls, squeeze_punctuation, drop_page_lines, squeeze_blanks, dedup_paragraphs)
     return F.trim(reduce(lambda t, f: f(t), steps, text))
 
 
+def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with its text column run through all cleaning steps in order."""
+    before = reduce(lambda t, f: f(t), (fix_encoding, drop_links, drop_controls, squeeze_punctuation), F.col(text))
+    after = reduce(lambda t, f: f(t), (drop_page_lines, squeeze_blanks, dedup_paragraphs), F.col(text))
+    return docs.withColumn(text, merge_lines(before)).withColumn(text, F.trim(after))
+
+
 # --- small helpers ----------------------------------------------------------------------------------------------------
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.functions.text import tokens
-
-#: Bands of the 128 SimHash bits: with at most 12 bits differing one of 13 bands is equal.
-BANDS, MAX_DISTANCE = 13, 12
+#: Blocks of the 128 SimHash bits, and how many bits may differ: of fourteen blocks two at least are then equal.
+BLOCKS, MAX_DISTANCE = 14, 12
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -28,7 +28,7 @@ def simhash(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words are counted first, so each distinct one is hashed once per text; the votes are summed with map-side combine.
     """
-    counted = docs.select("doc_id", F.explode(tokens(F.col(text))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
     half = lambda at: F.conv(F.substring(F.md5("w"), at, 16), 16, -10).cast("long")
     voted = counted.select("doc_id", "n", half(1).alias("hi"), half(17).alias("lo"))
     vote = lambda half, i: F.sum(F.when(F.shiftrightunsigned(half, i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n")))
@@ -40,16 +40,18 @@ def simhash(docs: DataFrame, text: str = "text") -> DataFrame:
 def simhash_pairs(hashes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Class representatives a < b whose SimHashes differ in at most ``max_distance`` bits, with the distance.
 
-    Texts with equal SimHash are one class, named by its least doc_id. Exact: one of the bands of two such hashes is equal.
+    Texts with equal SimHash are one class, named by its least doc_id. Exact: of ``BLOCKS`` blocks of bits so many are equal that every two
+    such hashes share one of the keys made of BLOCKS - max_distance blocks and their numbers.
     """
     classes = hashes.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"))
-    width = [128 // BANDS + (i < 128 % BANDS) for i in range(BANDS)]
+    width = [128 // BLOCKS + (i < 128 % BLOCKS) for i in range(BLOCKS)]
     bits = F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0"))
-    bands = F.array(*(F.struct(F.lit(i).alias("no"), F.substring(bits, sum(width[:i]) + 1, width[i]).alias("part")) for i in range(BANDS)))
-    cut = classes.select("doc_id", "hi", "lo", F.explode(bands).alias("b")).select("doc_id", "hi", "lo", "b.*")
-    x, y = cut.toDF("a", "a_hi", "a_lo", "no", "part"), cut.toDF("b", "b_hi", "b_lo", "no", "part")
+    block = [F.substring("bits", sum(width[:i]) + 1, width[i]) for i in range(BLOCKS)]
+    keys = F.array(*(F.xxhash64(F.lit(",".join(map(str, chosen))), *(block[i] for i in chosen)) for chosen in combinations(range(BLOCKS), max(1, BLOCKS - max_distance))))
+    cut = classes.withColumn("bits", bits).select("doc_id", "hi", "lo", F.explode(keys).alias("key"))
+    x, y = cut.toDF("a", "a_hi", "a_lo", "key"), cut.toDF("b", "b_hi", "b_lo", "key")
     distance = F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo")))
-    return x.join(y, ["no", "part"]).where("a < b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= max_distance).distinct()
+    return x.join(y, "key").where("a < b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= max_distance).distinct()
 
 
 def simhash_classes(hashes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -125,7 +125,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096
 
     def one(number: int) -> DataFrame:
         chosen = asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == number).toPandas()
-        held = spark.sparkContext.broadcast((chosen["id"].to_numpy(), np.array(chosen["embedding"].tolist(), np.float64).reshape(len(chosen), -1)))
+        held = spark.sparkContext.broadcast((chosen["id"].to_numpy(), np.array(chosen["embedding"].tolist(), np.float64)))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = held.value

@@ -38,9 +38,12 @@ QUERIES = {
     "op_cl_ctrl_punct": _select(lambda t: [T.squeeze_punctuation(T.drop_controls(t)).alias("cleaned")]),
     "op_cl_header": _select(lambda t: [T.drop_page_lines(t).alias("cleaned")]),
     "op_cl_dedup_para": _select(lambda t: [T.dedup_paragraphs(t).alias("cleaned")]),
-    "op_cl_clean": _select(lambda t: [T.clean(t).alias("cleaned")]),
+    "op_cl_clean": lambda spark, d: T.cleaned(docs(spark, d).select("doc_id", "text")).withColumnRenamed("text", "cleaned"),
     "op_ch_fixed": lambda spark, d: chunks.fixed(docs(spark, d)),
     "op_ch_sliding": lambda spark, d: chunks.fixed(docs(spark, d), 300, 100, whole_steps_only=True),
+    "op_cl_linebreak": _select(lambda t: [T.merge_lines(t).alias("cleaned")]),
+    "op_ch_recursive": lambda spark, d: chunks.recursive(docs(spark, d)),
+    "op_ch_semantic": lambda spark, d: chunks.semantic(docs(spark, d)),
     "op_ch_sentences": lambda spark, d: chunks.sentences(docs(spark, d)),
     "op_wn_dedup_first": lambda spark, d: dedup.keep_first(docs(spark, d), T.fingerprint(F.col("text")), "doc_id").select("doc_id", "key"),
     "op_snk_dedup_store": lambda spark, d: dedup.against_store(docs(spark, d).where("doc_id % 2 = 1"), docs(spark, d).where("doc_id % 2 = 0"), T.fingerprint(F.col("text"))).select("doc_id", "is_known"),
@@ -67,6 +70,13 @@ _SQUEEZE = "text"
 for _c in "。！？，、；：":
     _SQUEEZE = f"regexp_replace({_SQUEEZE}, '{_c}{_c}+', '{_c}', 'g')"
 
+_VOTES = lambda at: "[" + ", ".join(f"sum(case when (x{at} >> {i}) & 1 = 1 then n else -n end) > 0" for i in range(64)) + "]"
+_LONG = lambda bits: f"cast(case when {bits}[64] then -9223372036854775808 else 0 end + list_sum(list_transform(range(1, 64), lambda i: case when {bits}[i] then cast(1 as hugeint) << (i - 1) else 0 end)) as bigint)"
+_SIMHASH = rf"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+')) as w from documents where text is not null),
+c as (select doc_id, n, ('0x' || substr(md5(w), 1, 16))::ubigint as x1, ('0x' || substr(md5(w), 17, 16))::ubigint as x2 from (select doc_id, w, count(*) as n from w group by all)),
+v as (select doc_id, {_VOTES(1)} as b1, {_VOTES(2)} as b2 from c group by doc_id), h as (select doc_id, {_LONG('b1')} as hi, {_LONG('b2')} as lo from v)
+"""
+
 SQL = {
     "op_fn_hash": "select doc_id, md5(text) as md5_hex, sha256(text) as sha256_hex, base64(encode(substr(text, 1, 15))) as b64, 'query:result:' || md5(text) as cache_key from documents",
     "op_fn_fingerprint": f"select doc_id, {_FP} as fp, {_FP.replace('(text', '(substr(text, 1, 1000)')} as doc_fp, md5(substr(text, 1, 1000)) as meta_fp from documents",
@@ -92,7 +102,7 @@ select doc_id, token, count(*) as tf from c where token not in ({_STOP}) and (le
     "op_prd_regexes": r"""select doc_id, regexp_matches(text, '[A-Z]{2,4}[\s\-]?\d{4,6}[\-\s]?\d{4}') as has_standard, regexp_matches(text, '[A-Z]{2}\d{6}') as has_project_code,
        regexp_matches(name, '^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$') as name_is_email, cast(len(regexp_extract_all(text, 'C\d{2}')) as int) as n_grades from documents""",
     "op_cl_encoding": r"select doc_id, regexp_replace(translate(text, '　（）【】《》', ' ()[]<>'), '[\x{200b}\x{200c}\x{200d}\x{feff}]', '', 'g') as cleaned from documents",
-    "op_cl_ctrl_punct": rf"select doc_id, {_SQUEEZE.replace('(text', chr(40) + chr(114) + 'egexp_replace(text, ' + chr(39) + r'[\x{00}-\x{08}\x{0b}-\x{1f}]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} as cleaned from documents",
+    "op_cl_ctrl_punct": f"select doc_id, {_SQUEEZE} as cleaned from (select doc_id, regexp_replace(text, '[\\x{{00}}-\\x{{08}}\\x{{0b}}-\\x{{1f}}]', '', 'g') as text from documents)",
     "op_cl_header": f"select doc_id, {_HEADER} as cleaned from documents",
     "op_cl_dedup_para": """with p as (select doc_id, i, trim(ps[i], ' ') as p from (select doc_id, string_split(text, chr(10) || chr(10)) as ps, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) as i from documents where text is not null)),
 k as (select *, row_number() over (partition by doc_id, substr(p, 1, 100) order by i) as rn from p where p <> '')
@@ -103,4 +113,10 @@ select d.doc_id, case when d.text is not null then coalesce(string_agg(p, chr(10
   from (select doc_id, text, cast(len(range(0, greatest(length(text) - 200, 0) + 1, 200)) as int) as total_chunks, cast(unnest(range(0, greatest(length(text) - 200, 0) + 1, 200)) as int) as s from documents where length(text) > 0)""",
     "op_wn_dedup_first": f"select doc_id, key from (select doc_id, {_FP} as key, row_number() over (partition by {_FP} order by doc_id) as rn from documents) where rn = 1 and key is not null",
     "op_snk_dedup_store": f"with k as (select doc_id, {_FP} as key from documents) select doc_id, key is not null and key in (select key from k where doc_id % 2 = 0 and key is not null) as is_known from k where doc_id % 2 = 1",
+    "op_fn_simhash": _SIMHASH + "select doc_id, hi, lo from h",
+    "op_fn_neardup": _SIMHASH + """, k as (select hi, lo, min(doc_id) as class_id, count(*) as copies from h group by all),
+l as (select a.class_id, count(*) as links from k a join k b on a.class_id <> b.class_id and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12 group by 1)
+select doc_id, class_id, copies, coalesce(links, 0) as links from h join k using (hi, lo) left join l using (class_id)""",
+    "op_fn_neardup_pairs": _SIMHASH + """, k as (select hi, lo, min(doc_id) as doc_id from h group by all)
+select a.doc_id as a, b.doc_id as b, cast(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) as int) as distance from k a join k b on a.doc_id < b.doc_id where bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12""",
 }

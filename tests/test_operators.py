@@ -60,9 +60,9 @@ def test_dense_blocks(spark):
 
 def test_bm25_empty(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    posts = retrieval.postings(docs, T.tokens(F.col("text")))
-    assert posts.count() == 0
-    assert retrieval.bm25(spark.createDataFrame([(1, ["a"])], "query_id long, tokens array<string>"), posts).count() == 0
+    index = retrieval.build_index(docs)
+    assert index.posts.count() == 0
+    assert retrieval.bm25(spark.createDataFrame([(1, "a", 1)], "query_id long, token string, qtf int"), index).count() == 0
 
 
 def test_rate_limit_counts_allowed_only(spark):
@@ -112,3 +112,77 @@ def test_neardup_query_names_every_copy(spark, tmp_path):
     assert {got[i] for i in (3, 5, 7)} == {(3, 3, 0)} and got[20] == (20, 1, 0) and set(got) == {3, 5, 7, 10, 11, 12, 20}
     first = got[11][0]
     assert got[11] == got[12] and (pairs == {(10, 11)} and got[10] == (10, 1, 1) and got[11] == (11, 2, 1) or first == 10 and got[10] == (10, 3, 0) and not pairs)
+
+
+def test_merged_lines_and_whole_clean(spark):
+    text = "The crew placed the con-\ncrete beside\nthe plinth.\nIt rained.\n1. Heading\nx\n测点位移\n六毫米"
+    df = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, t int")
+    got = {r.doc_id: r.m for r in df.select("doc_id", T.merge_lines(F.col("text")).alias("m")).collect()}
+    assert got[1] == "The crew placed the concrete beside\nthe plinth.\nIt rained.\n1. Heading测点位移\n六毫米" and got[2] is None and got[3] == ""
+    assert T.cleaned(df).where("doc_id = 1").first().text.startswith("The crew placed the concrete beside\nthe plinth.")
+
+
+def test_recursive_and_semantic_chunks(spark):
+    from sitequarry.operators import chunks as C
+
+    texts = ["A short one.", ("Sentence one is here. " * 40 + "\n\n") * 5, "x" * 1300, "第一章 总则\n\n内容在这里。\n\n第二章 施工\n\n" + "内容。" * 700 + "\n\n末段。", None, "", "  \n "]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, content string")
+    rows = C.recursive(df, 300, 40).orderBy("doc_id", "chunk_index").collect()
+    for i, t in enumerate(texts):
+        own = [r for r in rows if r.doc_id == i]
+        assert all(len(r.content) <= 300 and t[r.start_char : r.start_char + len(r.content)] == r.content for r in own)
+        ends = [0] + [r.start_char + len(r.content) for r in own]
+        assert all(r.start_char == max(0, e - 40) for r, e in zip(own, ends)) and ends[-1] == len(t or "")
+    assert all(r.content.rstrip().endswith(".") for r in rows if r.doc_id == 1)
+    whole = C.semantic(df, 300).orderBy("doc_id", "chunk_index").collect()
+    assert [r.content[:5] for r in whole if r.doc_id == 3] == ["第一章 总", "第二章 施", "末段。"] and {r.doc_id for r in whole} == {0, 1, 2, 3}
+    assert C.recursive(df.where("false")).count() == 0 and C.semantic(df.where("false")).count() == 0
+
+
+def test_spread_join(spark):
+    from sitequarry.operators.skew import hot_keys, spread_join
+
+    many = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(50)] + [(None, 1)], "k string, i long")
+    few = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k3", "c"), (None, "d"), ("none", "e")], "k string, v string")
+    counts = many.groupBy("k").count().withColumnRenamed("count", "n")
+    hot = hot_keys(counts, "k", share=0.1)
+    assert [r.k for r in hot.collect()] == ["hot"]
+    got = spread_join(many, few, "k", hot, "i")
+    assert sorted(map(tuple, got.collect())) == sorted([("hot", i, v) for i in range(900) for v in "ab"] + [("k3", 3, "c")])
+
+
+def test_stored_index_and_blocks_of_queries(spark, tmp_path):
+    from sitequarry.operators import retrieval as R
+
+    df = spark.createDataFrame([(i, f"beam column w{i % 3} {'slab ' * (i % 2)}", "t") for i in range(20)] + [(20, None, "t"), (21, "", "t")], "doc_id long, text string, token string")
+    R.write_index(df.where("doc_id < 10"), str(tmp_path / "ix"))
+    R.write_index(df.where("doc_id >= 10"), str(tmp_path / "ix"), append=True)
+    whole = lambda p: sorted(map(tuple, p.collect()))
+    assert whole(R.read_index(spark, str(tmp_path / "ix")).posts) == whole(R.postings(df))
+    assert {r.token for r in R.read_index(spark, str(tmp_path / "ix"), ["slab"]).posts.collect()} == {"slab"}
+    v = R.hashed_embeddings(R.postings(df))
+    one, many = R.dense(v, v, 3), R.dense(v, v, 3, block=4)
+    assert whole(one.select("query_id", "doc_id", "score", "rank")) == whole(many.select("query_id", "doc_id", "score", "rank")) and one.count() == 60
+    by = R.dense(v, v.withColumn("g", (v.id % 2).cast("int")), 2, by="g")
+    assert by.groupBy("query_id", "g").count().where("count = 2").count() == 40
+    assert R.dense(v.where("false"), v, 3).count() == 0 and R.dense(v, v.where("false"), 3).count() == 0
+
+
+def test_components_that_do_not_converge_are_an_error(spark):
+    import pytest
+
+    from sitequarry.operators.components import components
+
+    chain = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    with pytest.raises(RuntimeError):
+        components(chain, max_rounds=1)
+    assert components(chain).where("component = 0").count() == 41
+
+
+def test_notes_and_tables(spark, tmp_path):
+    from sitequarry.plans import drawing_queries as Q
+
+    rows = [(1, "注：梁底标高以现场为准\n说明: 见图\n备注：无"), (2, "材料表\n混凝土 | C30 | 3\n钢筋 | HRB400 | 2"), (3, "构件 | 编号\nKL-1 | 2\nKZ-3 | 1"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in Q.annotations(spark, str(tmp_path)).collect()] == [(1, "general_note", "梁底标高以现场为准")]
+    assert {tuple(r) for r in Q.table_entities(spark, str(tmp_path)).collect()} >= {(2, "material", "C30"), (2, "material", "HRB400"), (3, "component", "KL-1"), (3, "component", "KZ-3")}
