@@ -1,9 +1,10 @@
 """Near-duplicate texts: all pairs whose sets of five-character sequences have a similarity of a half or more.
 
-PartEnum signatures find the candidates. A text is represented by the minima of its sequences, all of them, under
-independent hash functions; a minimum is equal in two texts with their similarity as the probability. The minima form first-level
-groups, within which all subsets that leave out one are enumerated: two texts that differ in one minimum of some group at
-most share a signature. Candidates whose sketches, one bit a minimum, are too far apart are dropped where they meet; the others are compared exactly.
+PartEnum signatures find the candidates. The domain of the sequences is partitioned by hash into first-level groups, and each group, by
+PARTS partitions of it, into second-level parts; the projection of a text on a part is thinned to its least sequence in hash order, which is
+equal in two texts with their similarity as the probability. Within a group all subsets of the parts that leave out one are enumerated: two texts
+that differ in one part of some group at most share a signature. Candidates whose sketches, one bit a part of a finer partition, are too far
+apart are dropped where they meet; the others are compared exactly. No sequence is left out for being common.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ GROUPS, PARTS = 16, 3
 #: Bits of a sketch, and how many may differ: at one half 96 do, 4.3 standard deviations less.
 BITS, MAX_DISTANCE = 384, 132
 _WORDS = BITS // 64
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, PARTS + 1, dtype=np.uint64) | np.uint64(1)
+_EMPTY = np.uint32(0xFFFFFFFF)
 _SLICE = 1000
 
 
@@ -55,31 +57,48 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, _SLICE)
 
 
-def _minima(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """Per hash function and text the least 32-bit value of its sequences; every text has one at least."""
-    first = np.searchsorted(owner, np.arange(texts))
-    h = (h >> np.uint64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(h * factor, first) for factor in _FACTORS])
-
-
-def _signatures(least: np.ndarray) -> np.ndarray:
+def _least(owner: np.ndarray, h: np.ndarray, texts: int, parts: int, factor: np.uint64) -> np.ndarray:
+    """Per text and part of the domain the least value of its sequences in that part; an empty part takes that of another, in an order fixed for the part."""
+    x = h * factor
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    part = ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    least = np.full(texts * parts, _EMPTY)
+    np.minimum.at(least, owner * parts + part, np.minimum((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), _EMPTY - np.uint32(1)))
+    least = least.reshape(texts, parts)
+    row, at = np.nonzero(least == _EMPTY)
+    filled, attempt = least.copy(), 0
+    while len(row):
+        attempt += 1
+        donor = (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt * 0x632BE59BD9B4E019 % (1 << 64)) >> np.uint64(33)) % np.uint64(parts)
+        value = least[row, donor.astype(np.int64)]
+        good = value != _EMPTY
+        filled[row[good], at[good]] = value[good]
+        row, at = row[~good], at[~good]
+    return filled
+
+
+def _signatures(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
     """GROUPS * PARTS signatures of 32 bits per text."""
-    out = np.empty((least.shape[1], GROUPS * PARTS), np.int32)
+    least = [_least(owner, h, texts, GROUPS, f) for f in _FACTORS[:PARTS]]
+    out = np.empty((texts, GROUPS * PARTS), np.int32)
     for g in range(GROUPS):
         for left_out in range(PARTS):
-            sig = np.full(least.shape[1], g * PARTS + left_out + 1, np.uint64)
+            sig = np.full(texts, g * PARTS + left_out + 1, np.uint64)
             for p in range(PARTS):
                 if p != left_out:
-                    sig = (sig ^ least[g * PARTS + p]) * np.uint64(0xC4CEB9FE1A85EC53)
+                    sig = (sig ^ least[p][:, g]) * np.uint64(0xC4CEB9FE1A85EC53)
                     sig ^= sig >> np.uint64(29)
             out[:, g * PARTS + left_out] = (sig >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return out
 
 
-def _sketches(least: np.ndarray) -> np.ndarray:
-    """One bit of every minimum, as _WORDS rows of 64 bits per text."""
-    bits = (least * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)
-    return np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.int64).T
+def _sketches(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
+    """One bit of the least sequence of each of BITS parts, as _WORDS rows of 64 bits per text."""
+    x = _least(owner, h, texts, BITS, _FACTORS[PARTS]) ^ (np.arange(BITS, dtype=np.uint32) * np.uint32(0x85EBCA6B))
+    x = (x ^ x >> np.uint32(16)) * np.uint32(0x9E3779B1)
+    bits = ((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA77) >> np.uint32(31)).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64).T
 
 
 def prepared(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -88,33 +107,27 @@ def prepared(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFram
     return norm.withColumn("h", F.xxhash64("norm"))
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """a and b (ids, a < b) of the pairs that share a signature and have near sketches; of copies met in one task, the first stands for all."""
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """One row per different text, h and norm, aggregated with map-side combine: copies, however many, meet no one as copies."""
+    return texts.groupBy("h").agg(F.first("norm").alias("norm"))
+
+
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """a and b (hashes of texts, a < b) of the pairs that share a signature and have near sketches."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for part in _slices(batches):
-            new = []
-            for i, x in enumerate(part.column(1).to_pylist()):
-                if x not in seen:
-                    seen.add(x)
-                    new.append(i)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if not new:
-                continue
-            part = part.take(pa.array(new))
-            least = _minima(*_shingles(part.column(2)), len(new))
-            sigs = pa.FixedSizeListArray.from_arrays(pa.array(_signatures(least).ravel()), GROUPS * PARTS).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), sigs, *map(pa.array, _sketches(least))], ["id", "sigs", *words])
+            owner, h = _shingles(part.column(1))
+            sigs = pa.FixedSizeListArray.from_arrays(pa.array(_signatures(owner, h, part.num_rows).ravel()), GROUPS * PARTS).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), sigs, *map(pa.array, _sketches(owner, h, part.num_rows))], ["h", "sigs", *words])
 
     words = [f"w{i}" for i in range(_WORDS)]
-    rows = texts.select("id", "h", "norm").mapInArrow(signatures, "id long, sigs array<int>, " + ", ".join(f"{w} long" for w in words))
-    # one exchange by signature serves both sides
-    sigs = rows.select(F.explode("sigs").alias("sig"), "id", *words)
+    rows = distinct.select("h", "norm").mapInArrow(signatures, "h long, sigs array<int>, " + ", ".join(f"{w} long" for w in words))
+    # one exchange by signature serves both sides; the merge join sorts, so that a hot signature may spill and be split
+    sigs = rows.select(F.explode("sigs").alias("sig"), "h", *words)
     x, y = sigs.toDF("sig", "a", *(f"a_{w}" for w in words)), sigs.toDF("sig", "b", *(f"b_{w}" for w in words))
     distance = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
-    return x.join(y.hint("shuffle_hash"), "sig").where(F.col("a") < F.col("b")).where(distance <= MAX_DISTANCE).select("a", "b").distinct()
+    return x.join(y.hint("merge"), "sig").where(F.col("a") < F.col("b")).where(distance <= MAX_DISTANCE).select("a", "b").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +152,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_classes(texts: DataFrame) -> DataFrame:
     """a, b (hashes of texts, a < b) and similarity of the pairs of different texts that are alike; copies are one class."""
-    candidates = _candidates(texts)
-    wanted = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
-    used = texts.join(wanted, "id", "left_semi")
-    text = lambda end: used.select(F.col("id").alias(end), F.col("h").alias(f"{end}_h"), F.col("norm").alias(f"{end}_text"))
-    rows = candidates.join(text("a"), "a").join(text("b"), "b").where("a_h <> b_h").select("a_h", "b_h", "a_text", "b_text")
-    return rows.mapInArrow(_compare, "a long, b long, similarity double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
+    distinct = distinct_texts(texts)
+    text = lambda end: distinct.select(F.col("h").alias(end), F.col("norm").alias(f"{end}_text"))
+    rows = _candidates(distinct).join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
+    return rows.mapInArrow(_compare, "a long, b long, similarity double")
 
 
 def found(chunks: DataFrame) -> DataFrame:
