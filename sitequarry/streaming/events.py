@@ -8,7 +8,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitequarry.plans.session import checkpoint_dir
@@ -53,18 +53,20 @@ def first_seen(docs: DataFrame, key: str, ts: str) -> DataFrame:
 def rate_limited(events: DataFrame, limit: int = 100, seconds: int = 3600) -> DataFrame:
     """event_id, user_id and allowed: an event is allowed if fewer than ``limit`` allowed ones of its user lie in the ``seconds`` before it.
 
-    Only allowed events count, so the rule is sequential: users are co-partitioned and sorted by time, and each partition is
-    read once as a stream with at most ``limit`` times in memory, however many events a user has. Ties go by event_id; a
-    null user is a user, a null time comes first and is allowed.
+    Only allowed events count, so the rule is sequential, but only within a run: where a user has no event in a whole slot of
+    ``seconds``, nothing before matters after. The slots in use are aggregated with map-side combine and joined into runs; runs are spread over the
+    tasks, sorted by time, and each is read once as a stream with at most ``limit`` times in memory. Ties go by event_id; a null
+    user is a user, a null time comes first and is allowed.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, times = object(), deque()
+        key, times = object(), deque()
         for batch in batches:
             allowed = []
-            for u, t in zip(batch["user_id"].astype(object).where(batch["user_id"].notna(), None), batch["t"]):
-                if u != user:
-                    user, times = u, deque()
+            users = batch["user_id"].astype(object).where(batch["user_id"].notna(), None)
+            for u, r, t in zip(users, batch["run"].tolist(), batch["t"].tolist()):
+                if (u, r) != key:
+                    key, times = (u, r), deque()
                 while times and times[0] <= t - seconds:
                     times.popleft()
                 ok = not t == t or len(times) < limit
@@ -74,6 +76,11 @@ def rate_limited(events: DataFrame, limit: int = 100, seconds: int = 3600) -> Da
             yield pd.DataFrame({"event_id": batch["event_id"], "user_id": batch["user_id"], "allowed": allowed})
 
     kinds = dict(events.dtypes)
-    seconds_of = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
-    rows = events.select("event_id", "user_id", seconds_of.alias("t")).repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    rows = events.select("event_id", "user_id", t.alias("t"), F.coalesce(F.floor(t / seconds), F.lit(-1)).alias("slot"))
+    w = Window.partitionBy("user_id").orderBy("slot")
+    slots = rows.select("user_id", "slot").distinct().withColumn("opens", F.when(F.col("slot") - F.lag("slot").over(w) == 1, 0).otherwise(1))
+    runs = slots.select("user_id", "slot", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")).toDF("_u", "_s", "run")
+    rows = rows.join(runs, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("slot") == F.col("_s")))
+    rows = rows.select("event_id", "user_id", "run", "t").repartition("user_id", "run").sortWithinPartitions("user_id", "run", "t", "event_id")
     return rows.mapInPandas(run, f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, allowed boolean")

@@ -186,3 +186,22 @@ def test_notes_and_tables(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in Q.annotations(spark, str(tmp_path)).collect()] == [(1, "general_note", "梁底标高以现场为准")]
     assert {tuple(r) for r in Q.table_entities(spark, str(tmp_path)).collect()} >= {(2, "material", "C30"), (2, "material", "HRB400"), (3, "component", "KL-1"), (3, "component", "KZ-3")}
+
+
+def test_rate_limit_against_one_pass(spark):
+    import random
+    from collections import deque
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([rng.randrange(400), rng.randrange(5000)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = set()
+    for user in (1, 2, None):
+        times = deque()
+        for i, _, t in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0])):
+            while times and times[0] <= t - 60:
+                times.popleft()
+            if len(times) < 4:
+                times.append(t)
+                want.add(i)
+    assert {r.event_id for r in events.rate_limited(df, 4, 60).where("allowed").collect()} == want
