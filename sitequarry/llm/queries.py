@@ -43,6 +43,13 @@ select src_table, row_id from t where case when code
     then regexp_matches(replace(x, ' ', ''), '[\p{Cyrillic}\p{M}\p{Cf}\p{Co}]|[\x{ff01}-\x{ff5e}\x{ffe0}-\x{ffe6}]|[\p{Zs}\x{2010}\x{2011}\x{fe63}\x{fb00}-\x{fb06}\x{2e80}-\x{2fd5}]') or regexp_matches(regexp_replace(x, '[ΦφϕΩΔΣπµμθλσεδβ]', '', 'g'), '\p{Greek}')
     else regexp_matches(x, '[\p{Mn}\p{Me}\p{Cf}]|[\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}\x{ff0d}]|[\x{2010}\x{2011}\x{fe63}\x{fb00}-\x{fb06}\x{2e80}-\x{2fd5}]') or regexp_matches(replace(x, ' ', ''), '\p{Zs}') end
 union select src_table, row_id from m""",
+    # an inverted list of all sequences, and every pair that shares one
+    "p5_found": r"""
+with n as (select id, trim(regexp_replace(lower(text), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ') as t from document_chunks where text is not null),
+g as (select distinct id, substr(t, i, 5) as g from (select id, t, unnest(range(1, length(t) - 3)) as i from n where length(t) >= 40)),
+s as (select id, count(*) as n from g group by id),
+p as (select x.id as a, y.id as b, count(*) as k from g x join g y on x.g = y.g and x.id < y.id group by all)
+select a as id_a, b as id_b from p join s x on x.id = a join s y on y.id = b where 2 * k >= x.n + y.n - k""",
     "p8_limits": """
 with x as (select source, 'chars' as measure, 1 as width, length(text) as size from documents where length(text) > 0
   union all select source, 'bytes', 4, octet_length(encode(text)) from documents where length(text) > 0),
