@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.operators import extraction as X
 from sitequarry.operators import graph as G
-from sitequarry.operators.references import reference_key
-from sitequarry.plans.graph_queries import _E, _KEY, _N, docs, edges, nodes
+from sitequarry.plans.graph_queries import _E, _N, _S, docs, edges, nodes, seeds
 from sitequarry.sources.tables import table
 
 # Words that name a kind of entity in a question.
@@ -114,22 +113,16 @@ def material_documents(s, d):
     return n.where("kind = 'material'").select("doc_id", "code").join(per_doc, "doc_id", "left").groupBy("code").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_components"), F.lit(0)).alias("n_components"))
 
 
-def starts(s, d):
-    """The entities whose least row id is divisible by fifty."""
-    e = table(s, d, "drawing_entities").where("deleted_at is null").groupBy(reference_key(F.col("entity_id")).alias("seed")).agg(F.min("id").alias("row"))
-    return e.where("seed is not null and row % 50 = 0").select("seed")
-
-
 def document_graph(s, d):
     """Nodes within two outgoing hops of each start, with their depth."""
-    return G.within(edges(s, d), starts(s, d), 2, directed=True)
+    return G.within(edges(s, d), seeds(s, d), 2, directed=True)
 
 
 def relations_of(s, d):
     """The first twenty outgoing relations of each start, and of the targets of the first five of them: seed, level, src, rel_type, dst."""
     ordered = lambda df, keys, k: df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("rel_type", "dst"))).where(F.col("rn") <= k)
     e = edges(s, d)
-    first = ordered(starts(s, d).join(e, F.col("seed") == F.col("src")), ["seed"], 20)
+    first = ordered(seeds(s, d).join(e, F.col("seed") == F.col("src")), ["seed"], 20)
     second = first.where("rn <= 5").select("seed", F.col("dst").alias("src")).distinct().join(e, "src")
     second = ordered(second, ["seed", "src"], 20)
     cols = ("seed", "src", "rel_type", "dst")
@@ -216,7 +209,7 @@ def _hits(kinds, source, name):
 _TYPED = f"""n as (select md5(concat_ws(':', doc_id, kind, code)) as node_id, doc_id, kind, type, code, mentions, case kind when 'component' then cast(0.9 as double) else 0.95 end as confidence
   from ({_hits(X.COMPONENTS, 'documents', 'component')} union all {_hits(X.MATERIALS, 'documents', 'material')}))"""
 _WORDS = " union all ".join(f"select doc_id, '{k}', '{w}' from documents where contains(text, '{w}')" for k, ws in KEYWORDS.items() for w in ws)
-_START = f"starts as (select seed from (select {_KEY.format(c='entity_id')} as seed, min(id) as r from drawing_entities where deleted_at is null group by 1) where seed is not null and r % 50 = 0)"
+_START = _S.replace("seeds as", "starts as")
 _INFO = lambda ps: "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(content, '{p}', 1)), '')" for p in ps) + ", null)"
 _BLOCK = BLOCK.replace("IsHan", "Han")
 

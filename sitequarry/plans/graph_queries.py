@@ -27,7 +27,9 @@ def edges(spark, d):
 
 
 def seeds(spark, d):
-    return nodes(spark, d).where(F.col("id").endswith("5-001")).select(F.col("id").alias("seed"))
+    """The entities whose least row id is divisible by fifty."""
+    e = table(spark, d, "drawing_entities").where("deleted_at is null")
+    return e.groupBy(reference_key(F.col("entity_id")).alias("seed")).agg(F.min("id").alias("row")).where("seed is not null and row % 50 = 0").select("seed")
 
 
 def drawing_graph(spark, d):
@@ -40,8 +42,10 @@ def drawing_graph(spark, d):
 
 
 def pairs(spark, d):
-    s = seeds(spark, d).select(F.col("seed").alias("start"))
-    return s.select("start", F.regexp_replace("start", "5-001$", "5-002").alias("goal"))
+    """Each start with the first entity of its own drawing and of the next one."""
+    number = F.regexp_extract("start", r"^ENT-(\d+)-", 1).cast("long")
+    goals = F.array(*(F.format_string("ENT-%08d-001", number + k) for k in (0, 1)))
+    return seeds(spark, d).select(F.col("seed").alias("start")).select("start", F.explode(goals).alias("goal"))
 
 
 QUERIES = {
@@ -66,7 +70,7 @@ _KEY = r"nullif(upper(regexp_replace({c}, '^[\s\x{{00a0}}\x{{3000}}]+|[\s\x{{00a
 _N = f"nodes as (select * from (select {_KEY.format(c='entity_id')} as id, min(entity_type) as label, min(code) as code from drawing_entities where deleted_at is null group by 1) where id is not null)"
 _E = f"edges as (select distinct * from (select {_KEY.format(c='from_entity_id')} as src, {_KEY.format(c='to_entity_id')} as dst, relation_type as rel_type from drawing_relations) where src is not null and dst is not null)"
 _U = "und as (select distinct * from (select src, dst from edges union all select dst, src from edges))"
-_S = "seeds as (select id as seed from nodes where suffix(id, '5-001'))"
+_S = f"seeds as (select seed from (select {_KEY.format(c='entity_id')} as seed, min(id) as r from drawing_entities where deleted_at is null group by 1) where seed is not null and r % 50 = 0)"
 
 
 def _entities(kinds):
@@ -98,7 +102,7 @@ select doc_id, rel_type, count(*) as n, min(src) as first_src, max(dst) as last_
     "op_gr_neighbours": f"with {_E}, {_U} select src, dst, degree from (select *, row_number() over (partition by src order by dst) as rn, count(*) over (partition by src) as degree from und) where rn <= 5",
     "op_gr_related": _HOPS + " select seed, node, min(depth) as depth from walk group by all",
     "op_gr_subgraph": f"with {_N}, {_E}, {_U}, {_S}, near as (select seed, seed as node from seeds union select seed, dst from seeds join und on src = seed) select a.seed, src, dst, rel_type from edges join near a on a.node = src join near b on b.node = dst and b.seed = a.seed",
-    "op_gr_path": f"""with recursive {_N}, {_E}, {_U}, {_S}, pairs as (select seed as start, regexp_replace(seed, '5-001$', '5-002') as goal from seeds),
+    "op_gr_path": f"""with recursive {_N}, {_E}, {_U}, {_S}, pairs as (select seed as start, printf('ENT-%08d-001', cast(regexp_extract(seed, '^ENT-(\\d+)-', 1) as bigint) + k) as goal from seeds, (values (0), (1)) v(k)),
 walk as (select distinct start, start as node, start as path, 0 as depth from pairs union all select w.start, u.dst, w.path || '>' || u.dst, w.depth + 1 from walk w join und u on u.src = w.node where w.depth < 4 and not contains('>' || w.path || '>', '>' || u.dst || '>')),
 best as (select start, node, depth, min(path) as path from walk group by start, node, depth)
 select p.start, p.goal, depth as hops, path from pairs p join best b on b.start = p.start and b.node = p.goal and depth = (select min(depth) from best c where c.start = b.start and c.node = b.node)""",

@@ -62,7 +62,7 @@ QUERIES = {
     "op_wn_first_last": lambda s, d: S.first_last(cost_months(s, d), ["project_id"]),
     "op_jn_peer": lambda s, d: S.peers(rates(s, d), "project_type", "sum_actual"),
     "op_db_dashboard": lambda s, d: S.dashboard(table(s, d, "project_basic"), tasks(s, d), table(s, d, "construction_drawings")),
-    "op_flt_docs": lambda s, d: L.filtered(documents(s, d), equal={"status": "completed", "doc_type": None}, between={"doc_id": (10, 900)}, within={"source": ["site_diary", "erp_export"]}).select("doc_id", "name", "source"),
+    "op_flt_docs": lambda s, d: L.filtered(documents(s, d), equal={"status": "completed", "doc_type": None}, between={"created_at": ("2021-06-01", "2024-06-01")}, within={"source": ["site_diary", "erp_export"]}).select("doc_id", "name", "source"),
     "op_flt_doc_search": lambda s, d: L.filtered(documents(s, d), contains={"name": "mar", "project_id": "0017"}).select("doc_id", "name", "project_id"),
     "op_lm_page": lambda s, d: L.page(documents(s, d).select("doc_id", "created_at"), [F.desc("created_at"), "doc_id"], 20, 15),
     "op_ag_doc_stats": lambda s, d: L.zero_filled(documents(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "status", documents(s, d).select("status").where("status is not null").distinct().unionByName(s.range(1).select(F.lit("archived").alias("status"))).distinct()),
@@ -105,7 +105,7 @@ select project_id, category, cast(a as double) as planned_sum, cast(b as double)
 select project_id, project_type, sum_actual, case when sum_actual is not null and count(sum_actual) over w > 1 then round((sum(sum_actual) over w - sum_actual) / (count(sum_actual) over w - 1), 4) end as peer_mean from r window w as (partition by project_type)""",
     "op_db_dashboard": f"""with {_P} select b.project_id, project_name, project_type, coalesce(n_tasks, 0) as n_tasks, coalesce(n_completed, 0) as n_completed, coalesce(n_delayed, 0) as n_delayed, overall_spi, coalesce(n_drawings, 0) as n_drawings, cast(coalesce(n_pages, 0) as bigint) as n_pages
 from project_basic b left join p using (project_id) left join (select project_id, count(*) as n_drawings, sum(total_pages) as n_pages from construction_drawings where deleted_at is null and project_id is not null group by 1) d using (project_id)""",
-    "op_flt_docs": "select doc_id, name, source from documents where status = 'completed' and doc_id between 10 and 900 and source in ('site_diary', 'erp_export')",
+    "op_flt_docs": "select doc_id, name, source from documents where status = 'completed' and created_at between timestamp '2021-06-01' and timestamp '2024-06-01' and source in ('site_diary', 'erp_export')",
     "op_flt_doc_search": "select doc_id, name, project_id from documents where contains(name, 'mar') or contains(project_id, '0017')",
     "op_lm_page": "select doc_id, created_at from documents order by created_at desc nulls last, doc_id limit 15 offset 20",
     "op_ag_doc_stats": "select status, coalesce(n, 0) as n from (select distinct status from documents where status is not null union select 'archived') left join (select status, count(*) as n from documents group by 1) using (status)",
