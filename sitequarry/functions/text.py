@@ -27,8 +27,9 @@ DOMAINS = {
 }
 #: Words without weight in retrieval.
 STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 能 那 来 但 与 对 于 由 从 以 向 用 比 或 被 因 所 而 及 等 为 之"
-).split()
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好",
+    "自己", "这", "能", "那", "来", "但", "与", "对", "于", "由", "从", "以", "向", "用", "比", "或", "被", "因", "所", "而", "及", "等", "为", "之",
+)
 # Dates, document numbers, addresses and codes.
 DATES = (r"\d{4}年\d{1,2}月\d{1,2}日", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{4}/\d{1,2}/\d{1,2}")
 DOC_NUMBERS = (r"GB\s*\d+[-–]\d{4}", r"JGJ\s*\d+[-–]\d{4}", r"\[\d{4}\]\d+号", r"No\.\s*\d+")

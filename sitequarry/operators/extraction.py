@@ -19,10 +19,32 @@ COMPONENTS = {
 MATERIALS = {"concrete": (r"C\d{2,3}", r"LC\d{2}"), "rebar": (r"HRB\d{3}[E]?", r"HPB\d{3}", r"HRBF\d{3}"), "steel": (r"Q\d{3}[A-Z]?",)}
 SPECS = {"spec": (r"GB\s*\d{4,6}[-–]\d{4}", r"GB/T\s*\d{4,6}[-–]\d{4}", r"JGJ\s*\d{2,4}[-–]\d{4}", r"JG\s*\d{2,4}[-–]\d{4}", r"DBJ\s*\d{2}[-–]\d{2,4}[-–]\d{4}")}
 SECTION = r"(\d+)\s*[×xX]\s*(\d+)"
-DIMENSIONS = (("thickness", r"厚度?\s*[:：]?\s*(\d+)"), ("height", r"高度?\s*[:：]?\s*(\d+)"), ("width", r"宽度?\s*[:：]?\s*(\d+)"), ("span", r"跨度?\s*[:：]?\s*(\d+)"), ("spacing", r"间距\s*[:：]?\s*(\d+)"), ("spacing", r"@(\d+)"))
-#: What a type of component is made of, and which dimensions apply to it.
-USES = {t: ("concrete", "rebar") for t in ("beam", "column", "slab", "wall", "foundation")}
-HAS = {"beam": ("section", "span", "height", "width"), "column": ("section", "height"), "slab": ("thickness", "span"), "wall": ("thickness", "height"), "foundation": ("thickness", "width")}
+DIMENSIONS = (
+    ("thickness", r"厚[度]?\s*[:：]?\s*(\d+)(?:mm)?"),
+    ("height", r"高[度]?\s*[:：]?\s*(\d+)(?:mm)?"),
+    ("width", r"宽[度]?\s*[:：]?\s*(\d+)(?:mm)?"),
+    ("span", r"跨[度]?\s*[:：]?\s*(\d+)(?:mm|m)?"),
+    ("spacing", r"间距\s*[:：]?\s*(\d+)(?:mm)?"),
+    ("spacing", r"@(\d+)"),
+)
+# What a type of component is made of, and which dimensions apply to it.
+USES = {
+    "beam": ("concrete", "rebar"),
+    "column": ("concrete", "rebar"),
+    "slab": ("concrete", "rebar"),
+    "wall": ("concrete", "rebar"),
+    "foundation": ("concrete", "rebar"),
+    "shear_wall": ("concrete", "rebar"),
+    "steel_beam": ("steel",),
+    "steel_column": ("steel",),
+}
+HAS = {
+    "beam": ("section", "span", "height", "width"),
+    "column": ("section", "height"),
+    "slab": ("thickness", "span"),
+    "wall": ("thickness", "height", "length"),
+    "foundation": ("thickness", "width", "length"),
+}
 
 
 def _hits(text: Column, kinds: dict[str, tuple[str, ...]]) -> Column:
