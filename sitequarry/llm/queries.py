@@ -50,6 +50,15 @@ g as (select distinct id, substr(t, i, 5) as g from (select id, t, unnest(range(
 s as (select id, count(*) as n from g group by id),
 p as (select x.id as a, y.id as b, count(*) as k from g x join g y on x.g = y.g and x.id < y.id group by all)
 select a as id_a, b as id_b from p join s x on x.id = a join s y on y.id = b where 2 * k >= x.n + y.n - k""",
+    # windows of twelve words, and of twenty characters for Chinese passages
+    "p7_found": r"""
+with i as (select item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}\p{M}]+') as w, regexp_matches(passage, '\p{Han}') as zh from eval_items where passage is not null),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as w from documents where text is not null),
+iw as (select distinct item_id, array_to_string(w[k : k + 11], ' ') as x from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i where not zh)),
+dw as (select distinct doc_id, array_to_string(w[k : k + 11], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+ic as (select distinct item_id, substr(c, k, 20) as x from (select item_id, c, unnest(range(1, length(c) - 18)) as k from (select item_id, array_to_string(w, '') as c from i where zh))),
+dc as (select distinct doc_id, substr(c, k, 20) as x from (select doc_id, c, unnest(range(1, length(c) - 18)) as k from (select doc_id, array_to_string(w, '') as c from d)))
+select doc_id, item_id from dw join iw using (x) union select doc_id, item_id from dc join ic using (x)""",
     "p8_limits": """
 with x as (select source, 'chars' as measure, 1 as width, length(text) as size from documents where length(text) > 0
   union all select source, 'bytes', 4, octet_length(encode(text)) from documents where length(text) > 0),
@@ -57,3 +66,4 @@ h as (select source, measure, width, size, max(size) over (partition by source,
 g as (select 'text' as "column", source, measure, top - width + 1 as low, top, width, count(*) filter (size > top - width) as n_at, count(*) filter (size <= top - width and size > top - width - top // 4) as under from h group by all)
 select "column", source, measure, low, top from g where n_at >= 5 and n_at >= 6 * width * greatest(under / (top // 4), 0.02)""",
 }
+SQL["p7_leaks_by_item"] = f"select item_id, suite, count(distinct doc_id) as n_docs from ({SQL['p7_found']}) join eval_items using (item_id) group by all"
