@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitequarry.sources.tables import spread
+
 #: Blocks of the 128 SimHash bits, and how many bits may differ: of fourteen blocks two at least are then equal.
 BLOCKS, MAX_DISTANCE = 14, 12
 
@@ -28,7 +30,7 @@ def simhash(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words are counted first, so each distinct one is hashed once per text; the votes are summed with map-side combine.
     """
-    counted = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = spread(docs.select("doc_id", F.col(text))).select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
     half = lambda at: F.conv(F.substring(F.md5("w"), at, 16), 16, -10).cast("long")
     voted = counted.select("doc_id", "n", half(1).alias("hi"), half(17).alias("lo"))
     vote = lambda half, i: F.sum(F.when(F.shiftrightunsigned(half, i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n")))

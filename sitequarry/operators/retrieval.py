@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions.text import is_token, raw_tokens
 from sitequarry.operators.skew import hot_keys, spread_join
-from sitequarry.plans.session import cut
+from sitequarry.plans.session import stored
+from sitequarry.sources.tables import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -25,7 +26,8 @@ RRF_K = 60
 
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, token and tf. Texts without tokens have no postings."""
-    each = docs.select(F.col(key).alias("doc_id"), F.explode(raw_tokens(F.col(text))).alias("token")).where(is_token(F.col("token")))
+    rows = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    each = rows.select("doc_id", F.explode(raw_tokens(F.col("text"))).alias("token")).where(is_token(F.col("token")))
     return each.groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
@@ -57,7 +59,7 @@ class Index:
 
 def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Index:
     """An index whose postings are stored in the cluster's shared folder."""
-    return Index(cut(postings(docs, text, key)))
+    return Index(stored(postings(docs, text, key)))
 
 
 BUCKETS = 16
