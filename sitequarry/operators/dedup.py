@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitequarry.operators.skew import hot_keys, spread_join
 from sitequarry.sources.tables import spread
 
 #: Blocks of the 128 SimHash bits, and how many bits may differ: of fourteen blocks two at least are then equal.
@@ -53,7 +54,8 @@ def simhash_pairs(hashes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     cut = classes.withColumn("bits", bits).select("doc_id", "hi", "lo", F.explode(keys).alias("key"))
     x, y = cut.toDF("a", "a_hi", "a_lo", "key"), cut.toDF("b", "b_hi", "b_lo", "key")
     distance = F.bit_count(F.col("a_hi").bitwiseXOR(F.col("b_hi"))) + F.bit_count(F.col("a_lo").bitwiseXOR(F.col("b_lo")))
-    return x.join(y, "key").where("a < b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= max_distance).distinct()
+    hot = hot_keys(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    return spread_join(x, y, "key", hot, "a").where("a < b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= max_distance).distinct()
 
 
 def simhash_classes(hashes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions.text import is_token, raw_tokens
-from sitequarry.operators.skew import hot_keys, spread_join
 from sitequarry.plans.session import stored
 from sitequarry.sources.tables import spread
 
@@ -80,15 +79,62 @@ def read_index(spark, path: str, tokens: list[str] | None = None) -> Index:
     return Index(rows.select("doc_id", "token", "tf"))
 
 
-def matched(wanted: DataFrame, posts: DataFrame, score: Column) -> DataFrame:
-    """query_id, doc_id and the sum of ``score`` over the tokens in common; ``wanted`` has query_id and token, ``posts`` doc_id and token.
+def _keep_best(best, score: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest scores of each row, ties by id, of those kept so far and new ones."""
+    if best is not None:
+        score, of = np.hstack([best[0], score]), np.hstack([best[1], of])
+    order = np.lexsort((of, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
 
-    Postings of tokens that no query has are dropped first, and hot tokens are spread.
+
+def matched(wanted: DataFrame, posts: DataFrame, k: int, block: int = 500_000) -> DataFrame:
+    """query_id, doc_id, score and rank: the ``k`` texts of each query with the largest positive sums of qw * w over the tokens in common, ties by doc_id.
+
+    ``wanted`` has query_id, token and qw, ``posts`` doc_id, token and w. The queries, about ``block`` of their terms at a time, go past all postings,
+    which come by text: a task adds up the scores of a few texts at once and keeps the best of each query, and only these are shuffled. So a
+    token that a third of all texts have is no key of any exchange.
     """
-    tokens = wanted.select("token").distinct()
-    asked = posts.join(tokens, "token", "left_semi")
-    hot = hot_keys(asked.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
-    return spread_join(asked, wanted, "token", hot, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score"))
+    spark = wanted.sparkSession
+    rounds = max(1, -(-wanted.count() // block))
+    rows = posts.select("doc_id", "token", F.col("w").cast("double").alias("w")).repartition("doc_id").sortWithinPartitions("doc_id")
+
+    def one(number: int) -> DataFrame:
+        part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number).select("query_id", "token", F.col("qw").cast("double").alias("qw")).toPandas()
+        code, tokens = pd.factorize(part["token"])
+        ids, query = np.unique(part["query_id"].to_numpy(np.int64), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        first = np.searchsorted(code[order], np.arange(len(tokens) + 1))
+        held = spark.sparkContext.broadcast((ids, {t: i for i, t in enumerate(tokens)}, first, query[order], part["qw"].to_numpy()[order]))
+
+        def scores(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            ids, codes, first, query, weight = held.value
+            known = batch["token"].map(codes)
+            have = known.notna().to_numpy()
+            of, text = np.unique(batch["doc_id"].to_numpy(np.int64), return_inverse=True)
+            c, w, text = known.to_numpy()[have].astype(np.int64), batch["w"].to_numpy()[have], text[have]
+            n = first[c + 1] - first[c]
+            place = np.arange(n.sum()) + np.repeat(first[c] - (np.cumsum(n) - n), n)
+            total = np.bincount(query[place] * len(of) + np.repeat(text, n), np.repeat(w, n) * weight[place], len(ids) * len(of))
+            score = np.round(total.reshape(len(ids), len(of)), 6)
+            return np.where(score > 0, score, -np.inf), np.broadcast_to(of, score.shape)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best, waiting = None, None
+            for batch in batches:
+                batch = batch if waiting is None else pd.concat([waiting, batch])
+                last = batch["doc_id"].to_numpy() == batch["doc_id"].iloc[-1] if len(batch) else np.zeros(0, bool)
+                waiting, batch = batch[last], batch[~last]  # the last text may go on in the next batch
+                if len(batch) and len(held.value[0]):
+                    best = _keep_best(best, *scores(batch), k)
+            if waiting is not None and len(waiting) and len(held.value[0]):
+                best = _keep_best(best, *scores(waiting), k)
+            if best is not None:
+                out = pd.DataFrame({"query_id": np.repeat(held.value[0], best[0].shape[1]), "doc_id": best[1].ravel(), "score": best[0].ravel()})
+                yield out[out["score"] > 0]
+
+        return rows.mapInPandas(run, "query_id long, doc_id long, score double")
+
+    return ranked(reduce(DataFrame.unionByName, map(one, range(rounds))), k)
 
 
 def bm25(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
@@ -100,7 +146,7 @@ def bm25(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     avg = F.broadcast(index.corpus.select("avgdl"))  # one row
     lengths = index.lengths.join(avg).select("doc_id", (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("norm"))
     posts = index.posts.join(lengths, "doc_id").select("doc_id", "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("w"))
-    return ranked(matched(wanted, posts, F.col("qw") * F.col("w")).where("score > 0"), k)
+    return matched(wanted, posts, k)
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score") -> DataFrame:
@@ -136,10 +182,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096
                 for part, some in batch.groupby("part") if len(ids) else ():
                     score = np.round(matrix @ np.array(some["embedding"].tolist(), np.float64).T, 5)
                     of = np.broadcast_to(some["id"].to_numpy(), score.shape)
-                    if part in best:
-                        score, of = np.hstack([best[part][0], score]), np.hstack([best[part][1], of])
-                    order = np.lexsort((of, -score), axis=1)[:, :k]  # ties by id
-                    best[part] = np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
+                    best[part] = _keep_best(best.get(part), score, of, k)
             for part, (score, of) in best.items():
                 yield pd.DataFrame({"query_id": np.repeat(ids, score.shape[1]), "doc_id": of.ravel(), "score": score.ravel(), "part": part})
 

@@ -55,7 +55,7 @@ def named(spark, d):
 def graph(codes, k=5):
     """The graph list: texts by the number of codes that they name as the query does."""
     wanted = codes.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "token")
-    return R.ranked(R.matched(wanted, codes, F.lit(1.0)), k)
+    return R.matched(wanted.withColumn("qw", F.lit(1.0)), codes.withColumn("w", F.lit(1.0)), k)
 
 
 def three(spark, d):

@@ -205,3 +205,35 @@ def test_rate_limit_against_one_pass(spark):
                 times.append(t)
                 want.add(i)
     assert {r.event_id for r in events.rate_limited(df, 4, 60).where("allowed").collect()} == want
+
+
+def test_matched_against_all_pairs(spark):
+    """Blocks of queries and batches that cut through a text change nothing; hot tokens, ties and unknown tokens are fine."""
+    import random
+
+    rng = random.Random(9)
+    posts = [(d, f"t{t}", float(rng.randrange(1, 5))) for d in range(60) for t in {0, *(rng.randrange(30) for _ in range(8))}]
+    wanted = [(q, f"t{t}", float(rng.randrange(1, 4))) for q in range(0, 40, 3) for t in {rng.randrange(35) for _ in range(5)}]
+    w = {}
+    for q, t, x in wanted:
+        w.setdefault(t, []).append((q, x))
+    total = {}
+    for d, t, y in posts:
+        for q, x in w.get(t, ()):
+            total[q, d] = total.get((q, d), 0.0) + x * y
+    want = {(q, d, s) for q in {q for q, _ in total} for d, s in sorted(((d, s) for (p, d), s in total.items() if p == q), key=lambda z: (-z[1], z[0]))[:4]}
+    a, b = spark.createDataFrame(wanted, "query_id long, token string, qw double"), spark.createDataFrame(posts, "doc_id long, token string, w double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for block in (500_000, 20):
+            assert {(r.query_id, r.doc_id, r.score) for r in retrieval.matched(a, b, 4, block).collect()} == want
+        assert retrieval.matched(a.where("false"), b, 4).count() == 0 and retrieval.matched(a, b.where("false"), 4).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_specifications(spark):
+    from sitequarry.operators import extraction as X
+
+    docs = spark.createDataFrame([(1, "按GB 50010-2010和JGJ 130-2011施工"), (2, None)], "doc_id long, text string")
+    assert {r.code for r in X.entities(docs, X.SPECS).collect()} == {"GB 50010-2010", "JGJ 130-2011"}
