@@ -1,7 +1,7 @@
 """Evaluation passages leaking into training text.
 
 The passages (a held-out set of fixed size) are normalised and joined into one generalised suffix automaton, compiled once into
-sorted arrays. Corpus texts, normalised by the same function, stream through it, all texts of a batch side by side, with their longest
+arrays. Corpus texts, normalised by the same function, stream through it, all texts of a batch side by side, with their longest
 matching length tracked at every character. The stretches found are measured exactly in whole words, or in characters for
 passages in Chinese; they can also be cut out of the texts.
 """
@@ -53,13 +53,41 @@ class Automaton:
                 while v > 0 and self.length[v] >= least and i not in owners[v]:
                     owners[v].add(i)
                     v = self.link[v]
-        # transitions as (state << 21 | code point), in order; a missing one is looked up along the links
-        arcs = sorted((s << 21 | ord(c), t) for s, to in enumerate(self.next) for c, t in to.items())
-        self.arc, self.target = np.array(arcs, np.int64).reshape(-1, 2).T.copy()
+        # transitions, keyed state << 21 | code point, in a hash table with linear probing; a missing one is looked up along the links
+        arcs = np.array([(s << 21 | ord(c), t) for s, to in enumerate(self.next) for c, t in to.items()], np.int64).reshape(-1, 2)
+        self.bits = max(4, int(len(arcs)).bit_length() + 2)
+        self.arc, self.target = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, at = np.arange(len(arcs)), self._slot(arcs[:, 0])
+        while len(left):
+            free = np.flatnonzero(self.arc[at] < 0)
+            self.arc[at[free]] = arcs[left[free], 0]  # of several for one slot the last stays
+            placed = self.arc[at] == arcs[left, 0]
+            self.target[at[placed]] = arcs[left[placed], 1]
+            left, at = left[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
         self.links, self.lengths = np.array(self.link, np.int64), np.array(self.length, np.int64)
         self.owners = [tuple(x) for x in owners]
         self.next = []
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states reached by one character each, -1 where there is no transition."""
+        wanted = state << 21 | c
+        slot = self._slot(wanted)
+        have = self.arc[slot]
+        out = np.where(have == wanted, self.target[slot], -1)
+        open_ = np.flatnonzero((have != wanted) & (have >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            have = self.arc[slot]
+            hit = have == wanted[open_]
+            out[open_[hit]] = self.target[slot[hit]]
+            go = ~hit & (have >= 0)
+            open_, slot = open_[go], slot[go]
+        return out
+
     def _extend(self, last: int, c: str) -> int:
         nxt, link, length = self.next, self.link, self.length
         if c in nxt[last]:  # another string came this way
@@ -96,15 +124,14 @@ class Automaton:
         order = np.argsort(start - stop, kind="stable")  # the longest first, so that those still running stay in front
         start, sizes = start[order], (stop - start)[order]
         state, n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        for k in range(int(sizes[0]) if len(sizes) and len(self.arc) else 0):
+        for k in range(int(sizes[0]) if len(sizes) and len(self.lengths) > 1 else 0):
             live = int(np.searchsorted(-sizes, -k, side="left"))
             c = points[start[:live] + k]
             todo = np.arange(live)
             while len(todo):
-                wanted = state[todo] << 21 | c[todo]
-                slot = np.minimum(np.searchsorted(self.arc, wanted), len(self.arc) - 1)
-                ok = self.arc[slot] == wanted
-                state[todo[ok]] = self.target[slot[ok]]
+                reached = self.step(state[todo], c[todo])
+                ok = reached >= 0
+                state[todo[ok]] = reached[ok]
                 n[todo[ok]] += 1
                 lost = todo[~ok]
                 shorter = self.links[state[lost]]
