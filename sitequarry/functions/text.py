@@ -1,9 +1,11 @@
-"""Column expressions over texts: fingerprints, statistics, extraction, cleaning. All run inside the JVM."""
+"""Column expressions over texts: fingerprints, statistics, extraction, cleaning. All but a few run inside the JVM."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,6 +119,24 @@ def raw_tokens(text: Column) -> Column:
     return F.coalesce(F.concat(latin, pairs), F.array().cast("array<string>"))
 
 
+_STOPPED = frozenset(STOP_WORDS)
+_LATIN, _HAN_RUN = re.compile("[a-z0-9]+"), re.compile(f"[{HAN}]{{2,}}")
+_LINK, _ADDRESS = re.compile(r"https?://\S+", re.ASCII), re.compile(r"\S+@\S+", re.ASCII)
+
+
+def token_counts(low: str) -> Counter[str]:
+    """What ``raw_tokens`` and ``is_token`` leave of a text in lower case, counted, in Python."""
+    low = _LINK.sub("", low) if "http" in low else low
+    low = _ADDRESS.sub("", low) if "@" in low else low
+    found = [x for x in _LATIN.findall(low) if len(x) > 1 or x.isalpha()]
+    for run in _HAN_RUN.findall(low):
+        found += map(add, run, run[1:])
+    counts = Counter(found)
+    for stop in _STOPPED & counts.keys():
+        del counts[stop]
+    return counts
+
+
 def is_token(x: Column) -> Column:
     """Whether a candidate carries weight: no stop word and no single sign."""
     return ~x.isin(*STOP_WORDS) & ((F.length(x) > 1) | x.rlike("[a-z]"))

@@ -6,15 +6,18 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import md5
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitequarry.functions.text import is_token, raw_tokens
+from sitequarry.functions.text import token_counts
 from sitequarry.plans.session import stored
-from sitequarry.sources.tables import spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -23,23 +26,72 @@ RRF_K = 60
 # --- lexical -------------------------------------------------------------------------------------------------------
 
 
+_ROWS = 1000
+
+
+def _texts(ids: list, counts: list[dict[str, int]], kind: pa.DataType) -> pa.RecordBatch:
+    ends = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+    tokens, tf = (pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(x)), t)) for x, t in ((counts, pa.string()), ((c.values() for c in counts), pa.int32())))
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), tokens, tf], ["doc_id", "tokens", "tf"])
+
+
+def tokenised(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, tokens and tf (arrays side by side): one row a text, the rows of one key taken together. Texts without tokens have no row."""
+    spark = docs.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(key).alias("doc_id"), F.make_valid_utf8(F.lower(text)).alias("text")).where("text is not null").repartition(n, "doc_id").sortWithinPartitions("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts, kind = [], [], None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = token_counts(low)
+                if not found:
+                    continue
+                if ids and ids[-1] == key:
+                    counts[-1].update(found)
+                    continue
+                if len(ids) == _ROWS:
+                    yield _texts(ids, counts, kind)
+                    ids, counts = [], []
+                ids.append(key)
+                counts.append(found)
+        if ids:
+            yield _texts(ids, counts, kind)
+
+    return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, tokens array<string>, tf array<int>")
+
+
+def exploded(texts: DataFrame) -> DataFrame:
+    return texts.select("doc_id", F.explode(F.arrays_zip("tokens", "tf")).alias("p")).select("doc_id", F.col("p.tokens").alias("token"), F.col("p.tf").alias("tf"))
+
+
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, token and tf. Texts without tokens have no postings."""
-    rows = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    each = rows.select("doc_id", F.explode(raw_tokens(F.col("text"))).alias("token")).where(is_token(F.col("token")))
-    return each.groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return exploded(tokenised(docs, text, key))
+
+
+def by_text(posts: DataFrame, value: str = "tf") -> DataFrame:
+    """One row a text, as ``tokenised`` gives them, of postings."""
+    pairs = posts.groupBy("doc_id").agg(F.collect_list(F.struct("token", value)).alias("p"))
+    return pairs.select("doc_id", F.col("p.token").alias("tokens"), F.col(f"p.{value}").alias(value))
 
 
 @dataclass(frozen=True)
 class Index:
-    """Stored postings (doc_id, token, tf) and what follows from them; the corpus is scanned and tokenised once, when they are stored."""
+    """Stored texts (doc_id, tokens, tf) and what follows from them; the corpus is scanned and tokenised once, when they are stored."""
 
-    posts: DataFrame
+    texts: DataFrame
+
+    @property
+    def posts(self) -> DataFrame:
+        return exploded(self.texts)
 
     @property
     def lengths(self) -> DataFrame:
         """doc_id and dl, the number of tokens of the text."""
-        return self.posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+        return self.texts.select("doc_id", F.aggregate("tf", F.lit(0).cast("long"), lambda n, x: n + x).alias("dl"))
 
     @property
     def corpus(self) -> DataFrame:
@@ -49,16 +101,16 @@ class Index:
     @property
     def terms(self) -> DataFrame:
         """token, df and idf; a negative idf becomes EPSILON times the mean idf of all terms."""
-        df = self.posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        n_docs = F.broadcast(self.posts.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n_docs")))  # one row
+        df = self.texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        n_docs = F.broadcast(self.texts.agg(F.count(F.lit(1)).alias("n_docs")))  # one row
         raw = df.join(n_docs).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw").alias("mean"))
         return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Index:
-    """An index whose postings are stored in the cluster's shared folder."""
-    return Index(stored(postings(docs, text, key)))
+    """An index whose texts are stored in the cluster's shared folder."""
+    return Index(stored(tokenised(docs, text, key)))
 
 
 BUCKETS = 16
@@ -76,63 +128,146 @@ def read_index(spark, path: str, tokens: list[str] | None = None) -> Index:
     if tokens is not None:
         buckets = [r[0] for r in spark.createDataFrame([(t,) for t in tokens], "token string").select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
         rows = rows.where(F.col("bucket").isin(buckets) & F.col("token").isin(list(tokens)))
-    return Index(rows.select("doc_id", "token", "tf"))
+    return Index(by_text(rows))
+
+
+class _Best:
+    """The ``k`` largest rounded scores of each of ``n`` queries so far, ties by id. Unused places have minus infinity."""
 
+    def __init__(self, n: int, k: int, digits: int):
+        self.k, self.digits = k, digits
+        self.score, self.of = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
-def _keep_best(best, score: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` largest scores of each row, ties by id, of those kept so far and new ones."""
-    if best is not None:
-        score, of = np.hstack([best[0], score]), np.hstack([best[1], of])
-    order = np.lexsort((of, -score), axis=1)[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(of, order, 1)
+    def add(self, queries: np.ndarray, score: np.ndarray, of: np.ndarray, least: float = -np.inf) -> None:
+        """``score`` has a row for each of ``queries`` and a column for each id in ``of``; only scores from ``least`` on count.
 
+        Most scores are far below the worst one kept and are only compared with it; the others are rounded and sorted.
+        """
+        k, slack, begin = self.k, 2 * 10.0**-self.digits, 0  # a score a little below may tie with the worst one when both are rounded
+        while begin < len(of):
+            first = np.isinf(self.score[queries, 0]).all()
+            end = begin + 4 * k if first else len(of)  # a few at first, so that there is something to compare with
+            floor = np.maximum(self.score[queries, -1] - slack, least / 2)
+            row, column = np.nonzero(score[:, begin:end] >= floor[:, None])
+            column += begin
+            value, ids, begin = np.round(score[row, column], self.digits), of[column], end
+            worst, last = self.score[queries[row], -1], self.of[queries[row], -1]
+            better = ((value > worst) | (value == worst) & (ids < last)) & (value >= least)
+            row, value, ids = row[better], value[better], ids[better]
+            touched = np.unique(row)
+            before = queries[touched]
+            row, value, ids = np.concatenate([row, np.repeat(touched, k)]), np.concatenate([value, self.score[before].ravel()]), np.concatenate([ids, self.of[before].ravel()])
+            order = np.lexsort((ids, -value, row))
+            row = row[order]
+            kept = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+            self.score[before], self.of[before] = value[kept].reshape(-1, k), ids[kept].reshape(-1, k)
 
-def matched(wanted: DataFrame, posts: DataFrame, k: int, block: int = 500_000) -> DataFrame:
+    def rows(self, ids: np.ndarray) -> pd.DataFrame:
+        used = np.isfinite(self.score)
+        return pd.DataFrame({"query_id": np.repeat(ids, used.sum(axis=1)), "doc_id": self.of[used], "score": self.score[used]})
+
+
+def _tasks(df: DataFrame) -> int:
+    """In how many tasks rows go past the queries. Each gives the best of every query, so they are as few as keep all cores busy, more for large inputs."""
+    spark = df.sparkSession
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
+#: A block of queries; what a posting costs in a sum by place, in multiply-adds of a matrix product.
+_QUERIES, _DENSE = 2048, 300
+#: Places added up at a time.
+_PLACES = 2_000_000
+
+
+def _expanded(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of low, low + 1, ..., low + n - 1, one range after the other."""
+    return np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+
+
+def _sums(asked: tuple[np.ndarray, np.ndarray, np.ndarray], queries: int, text: np.ndarray, code: np.ndarray, w: np.ndarray, texts: int) -> np.ndarray:
+    """Sums of weight * w over the tokens in common, a row a query, a column a text.
+
+    ``asked`` has the code, query and weight of the queries' terms by code. Tokens that many queries and many texts have are multiplied as matrices, the others added place by place.
+    """
+    have, code = np.unique(code, return_inverse=True)
+    low, high = (np.searchsorted(asked[0], have, side) for side in ("left", "right"))
+    n = high - low
+    common = n * np.bincount(code, minlength=len(have)) * _DENSE > queries * texts
+    column, many = np.cumsum(common) - 1, int(common.sum())
+    at = _expanded(low[common], n[common])
+    left = np.bincount(asked[1][at] * many + np.repeat(np.arange(many), n[common]), asked[2][at], queries * many).reshape(queries, many)
+    held = common[code]
+    right = np.bincount(text[held] * many + column[code[held]], w[held], texts * many).reshape(texts, many)
+    total = left @ right.T if many else np.zeros((queries, texts))
+    rest = np.flatnonzero(~held & (n[code] > 0))
+    ends = np.searchsorted(np.cumsum(n[code[rest]]), np.arange(_PLACES, n[code[rest]].sum() + _PLACES, _PLACES), side="right")
+    begin = 0
+    for end in np.unique(np.maximum(ends, 1)) if len(rest) else ():
+        some = rest[begin:end]
+        begin = end
+        m = n[code[some]]
+        at = _expanded(low[code[some]], m)
+        total += np.bincount(asked[1][at] * texts + np.repeat(text[some], m), np.repeat(w[some], m) * asked[2][at], queries * texts).reshape(queries, texts)
+    return total
+
+
+def matched(wanted: DataFrame, posts: DataFrame, k: int, block: int = 4_000_000) -> DataFrame:
+    """``matched_texts`` for postings: doc_id, token and w."""
+    return matched_texts(wanted, by_text(posts.withColumn("w", F.col("w").cast("double")), "w"), k, block)
+
+
+def matched_texts(wanted: DataFrame, texts: DataFrame, k: int, block: int = 4_000_000) -> DataFrame:
     """query_id, doc_id, score and rank: the ``k`` texts of each query with the largest positive sums of qw * w over the tokens in common, ties by doc_id.
 
-    ``wanted`` has query_id, token and qw, ``posts`` doc_id, token and w. The queries, about ``block`` of their terms at a time, go past all postings,
-    which come by text: a task adds up the scores of a few texts at once and keeps the best of each query, and only these are shuffled. So a
-    token that a third of all texts have is no key of any exchange.
+    ``wanted`` has query_id, token and qw, ``texts`` doc_id, tokens and w. The queries, about ``block`` of their terms at a time, go past all texts: a task adds
+    up the scores of a few thousand texts at once and keeps the best of each query, and only these are shuffled. So a token that a third of all texts
+    have is no key of any exchange. Texts, and queries, with mostly ASCII tokens are taken together, as those of different scripts share few tokens.
     """
     spark = wanted.sparkSession
+    wanted = stored(wanted.select("query_id", "token", F.col("qw").cast("double").alias("qw")))
     rounds = max(1, -(-wanted.count() // block))
-    rows = posts.select("doc_id", "token", F.col("w").cast("double").alias("w")).repartition("doc_id").sortWithinPartitions("doc_id")
+    rows = texts.select("doc_id", "tokens", "w")
+    rows = rows.coalesce(_tasks(rows))
 
     def one(number: int) -> DataFrame:
-        part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number).select("query_id", "token", F.col("qw").cast("double").alias("qw")).toPandas()
-        code, tokens = pd.factorize(part["token"])
-        ids, query = np.unique(part["query_id"].to_numpy(np.int64), return_inverse=True)
-        order = np.argsort(code, kind="stable")
-        first = np.searchsorted(code[order], np.arange(len(tokens) + 1))
-        held = spark.sparkContext.broadcast((ids, {t: i for i, t in enumerate(tokens)}, first, query[order], part["qw"].to_numpy()[order]))
-
-        def scores(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            ids, codes, first, query, weight = held.value
-            known = batch["token"].map(codes)
-            have = known.notna().to_numpy()
-            of, text = np.unique(batch["doc_id"].to_numpy(np.int64), return_inverse=True)
-            c, w, text = known.to_numpy()[have].astype(np.int64), batch["w"].to_numpy()[have], text[have]
-            n = first[c + 1] - first[c]
-            place = np.arange(n.sum()) + np.repeat(first[c] - (np.cumsum(n) - n), n)
-            total = np.bincount(query[place] * len(of) + np.repeat(text, n), np.repeat(w, n) * weight[place], len(ids) * len(of))
-            score = np.round(total.reshape(len(ids), len(of)), 6)
-            return np.where(score > 0, score, -np.inf), np.broadcast_to(of, score.shape)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best, waiting = None, None
-            for batch in batches:
-                batch = batch if waiting is None else pd.concat([waiting, batch])
-                last = batch["doc_id"].to_numpy() == batch["doc_id"].iloc[-1] if len(batch) else np.zeros(0, bool)
-                waiting, batch = batch[last], batch[~last]  # the last text may go on in the next batch
-                if len(batch) and len(held.value[0]):
-                    best = _keep_best(best, *scores(batch), k)
-            if waiting is not None and len(waiting) and len(held.value[0]):
-                best = _keep_best(best, *scores(waiting), k)
-            if best is not None:
-                out = pd.DataFrame({"query_id": np.repeat(held.value[0], best[0].shape[1]), "doc_id": best[1].ravel(), "score": best[0].ravel()})
-                yield out[out["score"] > 0]
-
-        return rows.mapInPandas(run, "query_id long, doc_id long, score double")
+        part = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number).toArrow().combine_chunks()
+        token = pc.unique(part["token"])
+        code = pc.index_in(part["token"], token).to_numpy().astype(np.int64)
+        latin = np.fromiter((t.isascii() for t in token.to_pylist()), bool, len(token))
+        ids, query = np.unique(part["query_id"].to_numpy(), return_inverse=True)
+        mostly = 2 * np.bincount(query, latin[code], len(ids)) > np.bincount(query, minlength=len(ids))
+        by_script = np.argsort(mostly, kind="stable")
+        ids, place = ids[by_script], np.empty(len(ids), np.int64)
+        place[by_script] = np.arange(len(ids))
+        query, weight, blocks, turn = place[query], part["qw"].to_numpy(), [], int((~mostly).sum())
+        ends = sorted({*range(_QUERIES, len(ids), _QUERIES), turn, len(ids)} - {0})
+        for begin, end in zip([0, *ends], ends):
+            own = np.flatnonzero((query >= begin) & (query < end))
+            own = own[np.argsort(code[own], kind="stable")]
+            blocks.append((begin, end, begin >= turn, (code[own].astype(np.int32), (query[own] - begin).astype(np.int32), weight[own])))
+        held = spark.sparkContext.broadcast((ids, token, latin, blocks))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, token, latin, blocks = held.value
+            best = _Best(len(ids), k, 6)
+            for batch in batches if len(ids) else ():
+                for at in range(0, batch.num_rows, 2 * _QUERIES):
+                    some = batch.slice(at, 2 * _QUERIES)
+                    of, text = some.column(0).to_numpy(), np.repeat(np.arange(some.num_rows), pc.list_value_length(some.column(1)).to_numpy())
+                    code = pc.index_in(some.column(1).flatten(), token)
+                    have = code.is_valid().to_numpy(zero_copy_only=False)
+                    text, code, w = text[have], code.fill_null(0).to_numpy()[have].astype(np.int64), some.column(2).flatten().to_numpy()[have]
+                    mostly = 2 * np.bincount(text, latin[code], len(of)) > np.bincount(text, minlength=len(of))
+                    for begin, end, script, asked in blocks:
+                        for side in (script, not script):  # first where the best are likely
+                            own = mostly == side
+                            chosen = own[text]
+                            if len(of[own]):
+                                total = _sums(asked, end - begin, (np.cumsum(own) - 1)[text[chosen]], code[chosen], w[chosen], len(of[own]))
+                                best.add(np.arange(begin, end), total, of[own], least=1e-6)
+            yield pa.RecordBatch.from_pandas(best.rows(ids), preserve_index=False)
+
+        return rows.mapInArrow(run, "query_id long, doc_id long, score double")
 
     return ranked(reduce(DataFrame.unionByName, map(one, range(rounds))), k)
 
@@ -144,9 +279,10 @@ def bm25(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """
     wanted = queries.join(index.terms.select("token", "idf"), "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("qw"))
     avg = F.broadcast(index.corpus.select("avgdl"))  # one row
-    lengths = index.lengths.join(avg).select("doc_id", (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("norm"))
-    posts = index.posts.join(lengths, "doc_id").select("doc_id", "token", (F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("w"))
-    return matched(wanted, posts, k)
+    dl = F.aggregate("tf", F.lit(0).cast("long"), lambda n, x: n + x)
+    norm = K1 * (1 - B + B * dl / F.col("avgdl"))  # once a text: within a function of the elements it would be worked out for each
+    w = F.zip_with("tf", F.array_repeat(norm, F.size("tf")), lambda tf, n: tf * (K1 + 1) / (tf + n))
+    return matched_texts(wanted, index.texts.join(avg).select("doc_id", "tokens", w.alias("w")), k)
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score") -> DataFrame:
@@ -159,7 +295,13 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "score") -> DataFr
 # --- dense ---------------------------------------------------------------------------------------------------------
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, by: str | None = None) -> DataFrame:
+def _matrix(embedding: pa.Array) -> np.ndarray:
+    """One row a vector; all have the same length."""
+    values = embedding.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return values.reshape(len(embedding), -1) if len(embedding) else np.zeros((0, 0))
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 65536, by: str | None = None) -> DataFrame:
     """query_id, doc_id, score and rank by inner product, exact: the stated queries, ``block`` of them at a time, past all rows.
 
     A block of queries goes to every task; a task keeps the ``k`` best a query of all the vectors it reads, and only these are shuffled. Both
@@ -167,26 +309,32 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096
     best of each of its values are kept and ranked by themselves; rows where it is null are left out.
     """
     spark = queries.sparkSession
-    asked = queries.where("size(embedding) > 0").select("id", "embedding")
+    asked = stored(queries.where("size(embedding) > 0").select("id", "embedding"))
     rows = vectors.where("size(embedding) > 0").select("id", "embedding", (F.col(by).cast("int") if by else F.lit(0)).alias("part")).where("part is not null")
+    rows = rows.coalesce(_tasks(rows))
     rounds = max(1, -(-asked.count() // block))
 
     def one(number: int) -> DataFrame:
-        chosen = asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == number).toPandas()
-        held = spark.sparkContext.broadcast((chosen["id"].to_numpy(), np.array(chosen["embedding"].tolist(), np.float64)))
+        chosen = asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == number).toArrow().combine_chunks()
+        held = spark.sparkContext.broadcast((chosen["id"].to_numpy(), _matrix(chosen["embedding"].combine_chunks())))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = held.value
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for part, some in batch.groupby("part") if len(ids) else ():
-                    score = np.round(matrix @ np.array(some["embedding"].tolist(), np.float64).T, 5)
-                    of = np.broadcast_to(some["id"].to_numpy(), score.shape)
-                    best[part] = _keep_best(best.get(part), score, of, k)
-            for part, (score, of) in best.items():
-                yield pd.DataFrame({"query_id": np.repeat(ids, score.shape[1]), "doc_id": of.ravel(), "score": score.ravel(), "part": part})
-
-        return rows.mapInPandas(run, "query_id long, doc_id long, score double, part int")
+            best: dict[int, _Best] = {}
+            for batch in batches if len(ids) else ():
+                for at in range(0, batch.num_rows, _QUERIES):
+                    some = batch.slice(at, _QUERIES)
+                    of, part, right = some.column("id").to_numpy(), some.column("part").to_numpy(), _matrix(some.column("embedding"))
+                    for number in np.unique(part).tolist():
+                        kept, own = best.setdefault(number, _Best(len(ids), k, 5)), part == number
+                        for begin in range(0, len(ids), _QUERIES):
+                            queries = np.arange(begin, min(begin + _QUERIES, len(ids)))
+                            kept.add(queries, matrix[queries] @ right[own].T, of[own])
+            for number, kept in best.items():
+                out = kept.rows(ids)
+                yield pa.RecordBatch.from_pandas(out.assign(part=np.full(len(out), number, np.int32)), preserve_index=False)
+
+        return rows.mapInArrow(run, "query_id long, doc_id long, score double, part int")
 
     out = one(0)
     for number in range(1, rounds):
@@ -200,16 +348,31 @@ DIMENSIONS = 64
 
 
 def hashed_embeddings(posts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """id and embedding of every text with postings: its tokens hashed into ``dimensions`` signed places, weighted by their counts, at length 1.
+    """``embedded`` for postings: doc_id, token and tf."""
+    return embedded(by_text(posts), dimensions)
+
+
+def embedded(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """id and embedding of every text with tokens: its tokens hashed into ``dimensions`` signed places, weighted by their counts, at length 1.
 
     Place and sign come from the token's MD5, so that they are the same everywhere. A text whose counts cancel out has the zero vector.
     """
-    number = lambda at, n: F.conv(F.substring(F.md5("token"), at, n), 16, 10).cast("int")
-    each = posts.select("doc_id", (number(1, 4) % dimensions).alias("place"), F.when(number(5, 1) < 8, F.col("tf")).otherwise(-F.col("tf")).alias("v"))
-    per = each.groupBy("doc_id", "place").agg(F.sum("v").cast("double").alias("v")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
-    return per.select(F.col("doc_id").alias("id"), raw.alias("raw")).withColumn("n", norm).select("id", F.transform("raw", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)).alias("embedding"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            text = np.repeat(np.arange(n), pc.list_value_length(batch.column(1)).to_numpy())
+            token = batch.column(1).flatten().dictionary_encode()
+            digits = [md5(t.encode()).hexdigest() for t in token.dictionary.to_pylist()]
+            place, sign = np.array([int(x[:4], 16) % dimensions for x in digits], np.int64), np.array([1 if int(x[4], 16) < 8 else -1 for x in digits], np.int64)
+            code = token.indices.to_numpy()
+            raw = np.bincount(text * dimensions + place[code], sign[code] * batch.column(2).flatten().to_numpy(), n * dimensions).reshape(n, dimensions)
+            length = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+            vectors = np.divide(raw, length, out=np.zeros_like(raw), where=length > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dimensions, pa.int32()), pa.array(vectors.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "embedding"])
+
+    return texts.select(F.col("doc_id").alias("id"), "tokens", "tf").mapInArrow(run, f"id {texts.schema['doc_id'].dataType.simpleString()}, embedding array<double>")
 
 
 def norms(vectors: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from sitequarry.functions import text as T
 from sitequarry.operators import extraction as X
 from sitequarry.operators import retrieval as R
 from sitequarry.plans.session import checkpoint_dir
+from sitequarry.plans.session import stored as stored_table
 from sitequarry.sources.tables import table
 
 
@@ -23,7 +24,7 @@ def index(spark, d):
 
 def queries_of(idx):
     """Every fiftieth document as a query, with its whole text."""
-    return idx.posts.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "token", F.col("tf").alias("qtf"))
+    return R.Index(idx.texts.where("doc_id % 50 = 0")).posts.select(F.col("doc_id").alias("query_id"), "token", F.col("tf").alias("qtf"))
 
 
 def lexical(idx, k=20):
@@ -41,15 +42,14 @@ def dense(spark, d, k=10):
 
 def semantic(idx, k=20):
     """The vector list: texts by the cosine of their hashed embeddings."""
-    v = R.hashed_embeddings(idx.posts)
-    return R.dense(v.where("id % 50 = 0"), v, k)
+    return R.dense(R.embedded(idx.texts.where("doc_id % 50 = 0")), R.embedded(idx.texts), k)
 
 
 def named(spark, d):
-    """doc_id and token of the codes named in each document, components and materials."""
+    """doc_id and token of the codes named in each document, components and materials; stored, as they are read several times."""
     each = docs(spark, d).select("doc_id", "text")
     codes = X.entities(each, X.COMPONENTS).select("doc_id", F.col("code").alias("token")).unionByName(X.entities(each, X.MATERIALS).select("doc_id", F.col("code").alias("token")))
-    return codes.distinct()
+    return stored_table(codes.distinct())
 
 
 def graph(codes, k=5):
@@ -70,16 +70,16 @@ def packed(spark, d):
 
 def tiered(spark, d):
     """Every tier is searched for its own best: specifications first, then contracts, then the rest."""
-    v = R.hashed_embeddings(index(spark, d).posts)
+    texts = index(spark, d).texts
     tier = F.when(F.col("doc_type") == "standard", 0).when(F.col("doc_type") == "contract", 2).otherwise(1)
     of = docs(spark, d).select(F.col("doc_id").alias("id"), tier.alias("tier"))
-    hits = R.dense(v.where("id % 50 = 0"), v.join(of, "id"), 5, by="tier")
+    hits = R.dense(R.embedded(texts.where("doc_id % 50 = 0")), R.embedded(texts).join(of, "id"), 5, by="tier")
     return R.tiers(hits.drop("rank"), 5).select("query_id", "doc_id", "tier", "score", "rank")
 
 
 def with_tokens(hits, idx):
     """Hits with the distinct tokens of the query and of the text."""
-    per = idx.posts.groupBy("doc_id").agg(F.collect_list("token").alias("d_tokens"))
+    per = idx.texts.select("doc_id", F.col("tokens").alias("d_tokens"))
     asked = per.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("d_tokens").alias("q_tokens"))
     return hits.join(per, "doc_id").join(asked, "query_id")
 
@@ -129,7 +129,7 @@ QUERIES = {
     "op_rt_bm25_build": lambda s, d: _rounded(index(s, d).terms, "idf", 6),
     "op_snk_bm25_index": stored,
     "op_rt_bm25_search": lambda s, d: _rounded(lexical(index(s, d)), "score", 5),
-    "op_rt_embed": lambda s, d: R.hashed_embeddings(index(s, d).posts).select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("place", "value")).where("value <> 0").withColumn("value", F.round("value", 5)),
+    "op_rt_embed": lambda s, d: R.embedded(index(s, d).texts).select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("place", "value")).where("value <> 0").withColumn("value", F.round("value", 5)),
     "op_rt_vec_search": dense,
     "op_rt_vec_text": lambda s, d: semantic(index(s, d), 10),
     "op_rt_graph_search": lambda s, d: graph(named(s, d)),

@@ -237,3 +237,58 @@ def test_specifications(spark):
 
     docs = spark.createDataFrame([(1, "按GB 50010-2010和JGJ 130-2011施工"), (2, None)], "doc_id long, text string")
     assert {r.code for r in X.entities(docs, X.SPECS).collect()} == {"GB 50010-2010", "JGJ 130-2011"}
+
+
+def test_best_are_kept_in_bounded_memory():
+    """A wide block of scores, full of ties, is compared with the worst kept ones; it isn't sorted whole."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    score = rng.integers(0, 9, (300, 4096)) / 4.0
+    ids = rng.permutation(4096) + 10
+    tracemalloc.start()
+    best = retrieval._Best(300, 10, 5)
+    for at in range(0, 4096, 1024):
+        best.add(np.arange(300), score[:, at : at + 1024], ids[at : at + 1024])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :10]
+    assert (best.of == ids[order]).all() and (best.score == np.take_along_axis(score, order, 1)).all()
+    assert peak < 3 * score.nbytes
+
+
+def test_common_and_rare_tokens_are_summed_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    q, d = (rng.random((40, 30)) * (rng.random((40, 30)) < rng.random(30) ** 4) for _ in range(2))
+    code, query = np.nonzero(q.T)
+    text, token = np.nonzero(d)
+    places, retrieval._PLACES = retrieval._PLACES, 7
+    try:
+        for retrieval._DENSE in (0, 5, 10**9):
+            assert np.allclose(retrieval._sums((code, query, q.T[code, query]), 40, text, token, d[text, token], 40), q @ d.T)
+    finally:
+        retrieval._PLACES, retrieval._DENSE = places, 300
+
+
+def test_token_counts_as_the_sql_expressions_have_them(spark):
+    from sitequarry.functions import text as T
+
+    rows = [(1, "See HTTP://a.b/C?d and me@x.org, 7 x 7a 12 the beam"), (2, "钢筋混凝土的梁KL-3，见https://甲.乙 柱"), (2, "钢筋 beam"), (3, None), (4, ""), (5, "İK 3\u00a0a@b\u3000c ſ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    each = df.select("doc_id", F.explode(T.raw_tokens(F.col("text"))).alias("token")).where(T.is_token(F.col("token")))
+    want = {(r.doc_id, r.token, r.n) for r in each.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {tuple(r) for r in retrieval.postings(df).collect()} == want and any(i == 2 and n == 2 for i, _, n in want)
+
+
+def test_a_table_stored_once_serves_the_codes(spark, tmp_path):
+    from sitequarry.plans import retrieval_queries as Q
+
+    spark.createDataFrame([(50, "梁 KL-1, C30"), (51, "KL-1 C30 C40")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    codes = Q.named(spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in codes.inputFiles())
+    shared = codes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n = 2").count()
+    assert {r.score for r in Q.graph(codes).where("doc_id = 51").collect()} == {float(shared)}
