@@ -292,3 +292,32 @@ def test_a_table_stored_once_serves_the_codes(spark, tmp_path):
     assert not any("documents.parquet" in f for f in codes.inputFiles())
     shared = codes.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n = 2").count()
     assert {r.score for r in Q.graph(codes).where("doc_id = 51").collect()} == {float(shared)}
+
+
+def test_simhash_pairs_against_all_pairs(spark):
+    """Near hashes, hot blocks and equal hashes; each hash is sent once for each block that may come first, not once a pair of blocks."""
+    import random
+
+    from sitequarry.operators import dedup
+
+    rng = random.Random(8)
+    rows = [rng.getrandbits(128) >> (i % 3 * 40) for i in range(120)]
+    rows += [x ^ sum(1 << rng.randrange(128) for _ in range(n)) for x in rows[:60] for n in (0, 1, 6, 11, 13)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [x & ((1 << 128) - 1) for x in rows]
+    df = spark.createDataFrame([(i, signed(x >> 64), signed(x & (1 << 64) - 1)) for i, x in enumerate(rows)], "doc_id long, hi long, lo long")
+    first = {}
+    for i, x in enumerate(rows):
+        first.setdefault(x, i)
+    want = sorted((min(i, j), max(i, j), (x ^ y).bit_count()) for x, i in first.items() for y, j in first.items() if i < j and (x ^ y).bit_count() <= 12)
+    pairs = dedup.simhash_pairs(df)
+    assert sorted(map(tuple, pairs.collect())) == want and len(want) > 150
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_simhash_of_rows_with_one_id(spark):
+    from sitequarry.operators import dedup
+
+    df = spark.createDataFrame([(1, "beam slab"), (2, "slab wall Wall"), (1, "beam"), (3, "!"), (4, None), (5, "beam beam slab")], "doc_id long, text string")
+    got = {r.doc_id: (r.hi, r.lo) for r in dedup.simhash(df).collect()}
+    assert set(got) == {1, 2, 5} and got[1] == got[5] != got[2]
