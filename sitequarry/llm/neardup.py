@@ -1,15 +1,18 @@
 """Near-duplicate texts: all pairs whose sets of five-character sequences have a similarity of a half or more.
 
-PartEnum signatures find the candidates. The domain of the sequences is partitioned by hash into first-level groups, and each group, by
-PARTS partitions of it, into second-level parts; the projection of a text on a part is thinned to its least sequence in hash order, which is
-equal in two texts with their similarity as the probability. Within a group all subsets of the parts that leave out one are enumerated: two texts
-that differ in one part of some group at most share a signature. Candidates whose sketches, one bit a part of a finer partition, are too far
-apart are dropped where they meet; the others are compared exactly. No sequence is left out for being common.
+PartEnum signatures find the candidates. The domain of the sequences is partitioned by hash several times; the projection of a text on a part is
+thinned to its least sequence in hash order, which is equal in two texts with their similarity as the probability. MINIMA parts form a first-level
+group. Within a group subsets of the parts are enumerated; two texts meet if they agree in all parts of a subset. The
+subsets are enumerated where the group is read, so that a text is sent once for each group, as one byte for each part and not as its signatures.
+Beside them goes a piece of sketch, made of parts that no other group uses; meetings whose pieces are too far apart are dropped on the spot, the
+others are compared exactly. No sequence is left out for being common.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +24,22 @@ from sitequarry.operators.components import components
 
 WIDTH = 5
 MIN_CHARS = 40
-#: First-level groups, minima in each; one may differ. A pair at one half has no signature in common with probability 2 ** -GROUPS.
-GROUPS, PARTS = 16, 3
-#: Bits of a sketch, and how many may differ: at one half 96 do, 4.3 standard deviations less.
-BITS, MAX_DISTANCE = 384, 132
-_WORDS = BITS // 64
-_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, PARTS + 1, dtype=np.uint64) | np.uint64(1)
+#: First-level groups, and minima in each.
+GROUPS, MINIMA = 8, 20
+#: Texts of a group from which on so many minima must agree, and how many subsets of that size are enumerated.
+SUBSETS = ((0, 5, 200), (1 << 20, 6, 800))
+#: Words of a group's piece of sketch, two bits a minimum, and how many bits may differ in the first and in all: at one half 16 and 80 do.
+WORDS, NEAR_FIRST, NEAR = 5, 28, 102
+#: Tasks that share the subsets of one group.
+SHARES = 4
+#: Texts whose subsets are sorted at once, bytes of a column held in memory, pairs compared at once.
+_ROWS, _HELD, _PAIRS = 1 << 20, 1 << 24, 1 << 20
+_HASHES = 4
+#: A random number for each minimum and value; texts agree in a subset if the sums without carry over it are equal.
+_TABLE = np.random.default_rng(6).integers(0, 1 << 63, (MINIMA, 256), dtype=np.uint64) << np.uint64(1)
+_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, _HASHES // 2 + 1, dtype=np.uint64) | np.uint64(1)
 _EMPTY = np.uint32(0xFFFFFFFF)
-_SLICE = 1000
+_SLICE = 125
 
 
 def normal(text: Column) -> Column:
@@ -57,17 +68,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, _SLICE)
 
 
-def _least(owner: np.ndarray, h: np.ndarray, texts: int, parts: int, factor: np.uint64) -> np.ndarray:
-    """Per text and part of the domain the least value of its sequences in that part; an empty part takes that of another, in an order fixed for the part."""
-    x = h * factor
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    part = ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _least(owner: np.ndarray, h: np.ndarray, texts: int, parts: int) -> np.ndarray:
+    """Per text and part of the domain the least value of its sequences in that part; h has 32 random bits."""
+    y = h.astype(np.uint64)
+    y *= np.uint64(parts)
+    value = y.astype(np.uint32)
+    np.minimum(value, _EMPTY - np.uint32(1), out=value)
+    y >>= np.uint64(32)
+    at = owner * parts
+    at += y.view(np.int64)
     least = np.full(texts * parts, _EMPTY)
-    np.minimum.at(least, owner * parts + part, np.minimum((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), _EMPTY - np.uint32(1)))
-    least = least.reshape(texts, parts)
+    np.minimum.at(least, at, value)
+    return least.reshape(texts, parts)
+
+
+def _filled(least: np.ndarray) -> np.ndarray:
+    """An empty part takes the value of another, in an order fixed for the part."""
     row, at = np.nonzero(least == _EMPTY)
-    filled, attempt = least.copy(), 0
+    filled, attempt, parts = least.copy(), 0, least.shape[1]
     while len(row):
         attempt += 1
         donor = (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt * 0x632BE59BD9B4E019 % (1 << 64)) >> np.uint64(33)) % np.uint64(parts)
@@ -78,27 +96,115 @@ def _least(owner: np.ndarray, h: np.ndarray, texts: int, parts: int, factor: np.
     return filled
 
 
-def _signatures(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """GROUPS * PARTS signatures of 32 bits per text."""
-    least = [_least(owner, h, texts, GROUPS, f) for f in _FACTORS[:PARTS]]
-    out = np.empty((texts, GROUPS * PARTS), np.int32)
-    for g in range(GROUPS):
-        for left_out in range(PARTS):
-            sig = np.full(texts, g * PARTS + left_out + 1, np.uint64)
-            for p in range(PARTS):
-                if p != left_out:
-                    sig = (sig ^ least[p][:, g]) * np.uint64(0xC4CEB9FE1A85EC53)
-                    sig ^= sig >> np.uint64(29)
-            out[:, g * PARTS + left_out] = (sig >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return out
-
-
-def _sketches(owner: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
-    """One bit of the least sequence of each of BITS parts, as _WORDS rows of 64 bits per text."""
-    x = _least(owner, h, texts, BITS, _FACTORS[PARTS]) ^ (np.arange(BITS, dtype=np.uint32) * np.uint32(0x85EBCA6B))
-    x = (x ^ x >> np.uint32(16)) * np.uint32(0x9E3779B1)
-    bits = ((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA77) >> np.uint32(31)).astype(np.uint8)
-    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64).T
+def _halves(h: np.ndarray, factor: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 32 bits."""
+    x = h * factor
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return (x >> np.uint64(32)).astype(np.uint32), x.astype(np.uint32)
+
+
+def _projections(owner: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """MINIMA bytes, and WORDS words of sketch, of every text for each group; the groups run along the first axis, the texts along the last."""
+    parts, fine = GROUPS * MINIMA, GROUPS * WORDS * 32
+    minima = np.concatenate([_filled(_least(owner, x, texts, parts // _HASHES)) for f in _FACTORS[:-1] for x in _halves(h, f)], axis=1)
+    least = np.concatenate([_least(owner, x, texts, fine // 2) for x in _halves(h, _FACTORS[-1])], axis=1)
+    # an empty part of the sketch takes a minimum of another group
+    group, nth = np.divmod(np.arange(fine), WORDS * 32)
+    donor = ((group + 1) * MINIMA + nth % (parts - MINIMA)) % parts
+    x = least
+    np.copyto(x, minima.take(donor, axis=1), where=x == _EMPTY)
+    x ^= np.arange(fine, dtype=np.uint32) * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA77)
+    planes = [np.packbits(x & np.uint32(1 << k) != 0, axis=1).reshape(texts, GROUPS, -1) for k in (31, 30)]
+    words = np.concatenate(planes, axis=2).view(np.uint64).transpose(1, 2, 0)
+    small = (minima * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+    return small.reshape(texts, GROUPS, MINIMA).transpose(1, 2, 0), words
+
+
+def _subsets(texts: int) -> list[tuple[int, ...]]:
+    """The subsets of the minima that are enumerated in a group of so many texts, the same in every task."""
+    agree, many = next((agree, many) for least, agree, many in reversed(SUBSETS) if texts >= least)
+    rng, chosen = np.random.default_rng(agree), set()
+    while len(chosen) < many:
+        chosen.add(tuple(sorted(rng.choice(MINIMA, agree, replace=False).tolist())))
+    return sorted(chosen)
+
+
+class _Column:
+    """Values that come piece by piece; beyond _HELD bytes they lie in a file of the task."""
+
+    def __init__(self, kind: type) -> None:
+        self.kind, self.size, self.file = kind, 0, tempfile.SpooledTemporaryFile(_HELD)
+
+    def add(self, piece: bytes) -> None:
+        self.file.write(piece)
+        self.size += len(piece)
+
+    def whole(self) -> np.ndarray:
+        self.file.seek(0)
+        return np.memmap(self.file, self.kind, "r") if self.size > _HELD else np.frombuffer(self.file.read(), self.kind)
+
+
+def _runs(key: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of neighbours in a sorted key that differ in the last ``bits`` only: i, how many such follow each, and where these are; so many at a time that memory is bounded."""
+    i = np.flatnonzero(key[1:] ^ key[:-1] < np.uint64(1 << bits))
+    if not len(i):
+        return
+    last = np.flatnonzero(np.append(i[1:] != i[:-1] + 1, True))
+    n = np.repeat(i[last] + 1, np.diff(last, prepend=-1)) - i
+    total = np.cumsum(n)
+    cuts = np.unique(np.searchsorted(total, np.arange(_PAIRS, total[-1] + _PAIRS, _PAIRS)).clip(max=len(i) - 1) + 1)
+    for start, end in zip(np.append(0, cuts[:-1]), cuts):
+        part, m = i[start:end], n[start:end]
+        before = np.cumsum(m) - m
+        yield part, m, np.arange(before[-1] + m[-1]) + np.repeat(part + 1 - before, m)
+
+
+def _unique(pieces: list[np.ndarray]) -> np.ndarray:
+    every = np.sort(np.concatenate(pieces))
+    return every[np.append(True, every[1:] != every[:-1])] if len(every) else every
+
+
+def _met(minima: list[np.ndarray], words: list[np.ndarray], subsets: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, each pair at least once, of the texts of one group that agree in one of the subsets and have near sketches."""
+    rounds = min(-(-len(minima[0]) // _ROWS), 128)
+    for first in sorted({s[0] for s in subsets}) if rounds > 1 else [None]:
+        for turn in range(rounds):
+            # texts that agree in a subset agree in its first minimum
+            chosen = np.arange(len(minima[0])) if first is None else np.flatnonzero(minima[first] % rounds == turn)
+            mine = [s for s in subsets if first in (None, s[0])]
+            column = {q: _TABLE[q][minima[q][chosen]] for q in {q for s in mine for q in s}}
+            word, sketch = words[0][chosen], np.stack([w[chosen] for w in words[1:]], axis=1)
+            place = np.arange(len(chosen), dtype=np.uint64)
+            low = max(24, len(chosen).bit_length())
+            met = []
+            for subset in mine:
+                key = column[subset[0]] ^ column[subset[1]]
+                for q in subset[2:]:
+                    key ^= column[q]
+                key &= np.uint64((1 << 64) - (1 << low))
+                key |= place
+                key.sort()
+                for i, n, j in _runs(key, low):
+                    i, j = ((key[x] & np.uint64((1 << low) - 1)).astype(np.int64) for x in (i, j))
+                    bits = np.bitwise_count(np.repeat(word[i], n) ^ word[j])
+                    near = np.flatnonzero(bits <= NEAR_FIRST)
+                    a, b, bits = np.repeat(i, n)[near], j[near], bits[near].astype(np.uint16)
+                    for more in np.bitwise_count(sketch[a] ^ sketch[b]).T:
+                        bits += more
+                    near = bits <= NEAR
+                    a, b = a[near].astype(np.uint64), b[near].astype(np.uint64)
+                    met.append(np.minimum(a, b) << np.uint64(32) | np.maximum(a, b))
+                if sum(map(len, met[1:])) > _PAIRS:
+                    met = [_unique(met)]
+            if met:
+                pairs = _unique(met)
+                yield chosen[pairs >> np.uint64(32)], chosen[pairs & np.uint64(0xFFFFFFFF)]
 
 
 def prepared(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -112,22 +218,47 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
     return texts.groupBy("h").agg(F.first("norm").alias("norm"))
 
 
+def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
+        owner, h = _shingles(part.column(1))
+        minima, words = _projections(owner, h, part.num_rows)
+        hashed = part.column(0).to_numpy().tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(GROUPS, dtype=np.int32)), pa.array([hashed] * GROUPS), pa.array([m.tobytes() for m in minima]), pa.array([w.tobytes() for w in words])],
+            ["g", "h", "minima", "words"],
+        )
+
+
+def _meetings(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs met in one share of the subsets of each group that comes."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, list[_Column]] = {}
+        for batch in batches:
+            for g, *pieces in zip(*(c.to_pylist() for c in batch.columns)):
+                if g not in groups:
+                    groups[g] = [_Column(np.int64), *(_Column(np.uint8) for _ in range(MINIMA)), *(_Column(np.uint64) for _ in range(WORDS))]
+                n = len(pieces[0]) // 8
+                split = [pieces[0], *(pieces[1][k * n : (k + 1) * n] for k in range(MINIMA)), *(pieces[2][k * 8 * n : (k + 1) * 8 * n] for k in range(WORDS))]
+                for column, piece in zip(groups[g], split):
+                    column.add(piece)
+        for columns in groups.values():
+            h, *rest = (c.whole() for c in columns)
+            subsets = _subsets(len(h))
+            for i, j in _met(rest[:MINIMA], rest[MINIMA:], subsets[len(subsets) * share // SHARES : len(subsets) * (share + 1) // SHARES]):
+                for at in range(0, len(i), _PAIRS):
+                    x, y = h[i[at : at + _PAIRS]], h[j[at : at + _PAIRS]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return meet
+
+
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """a and b (hashes of texts, a < b) of the pairs that share a signature and have near sketches."""
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            owner, h = _shingles(part.column(1))
-            sigs = pa.FixedSizeListArray.from_arrays(pa.array(_signatures(owner, h, part.num_rows).ravel()), GROUPS * PARTS).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), sigs, *map(pa.array, _sketches(owner, h, part.num_rows))], ["h", "sigs", *words])
-
-    words = [f"w{i}" for i in range(_WORDS)]
-    rows = distinct.select("h", "norm").mapInArrow(signatures, "h long, sigs array<int>, " + ", ".join(f"{w} long" for w in words))
-    # one exchange by signature serves both sides; the merge join sorts, so that a hot signature may spill and be split
-    sigs = rows.select(F.explode("sigs").alias("sig"), "h", *words)
-    x, y = sigs.toDF("sig", "a", *(f"a_{w}" for w in words)), sigs.toDF("sig", "b", *(f"b_{w}" for w in words))
-    distance = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words[1:]), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
-    return x.join(y.hint("merge"), "sig").where(F.col("a") < F.col("b")).where(distance <= MAX_DISTANCE).select("a", "b").distinct()
+    """a and b (hashes of texts, a < b) of the pairs that meet in a group and have near sketches there."""
+    rows = distinct.select("h", "norm").mapInArrow(_projected, "g int, h binary, minima binary, words binary")
+    # one exchange by group serves all shares
+    rows = rows.repartitionById(GROUPS, "g")
+    return reduce(DataFrame.union, (rows.mapInArrow(_meetings(k), "a long, b long") for k in range(SHARES))).distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from sitequarry.llm import neardup as N
 
 
@@ -69,3 +72,49 @@ def test_every_pair_near_one_half(spark):
     close = [p for p in want if len(sets[p[0]] & sets[p[1]]) < 0.56 * len(sets[p[0]] | sets[p[1]])]
     assert len(close) > 30
     assert {tuple(r) for r in N.found(spark.createDataFrame(rows, "id long, text string, h string")).collect()} == want
+
+
+def test_signatures_are_not_shuffled(spark):
+    """A text is sent once for each group, whatever the number of its signatures, and all tasks of a group read one exchange."""
+    distinct = spark.createDataFrame([(i, t) for i, t, _ in made(4) if t and len(t) >= 40], "h long, norm string")
+    candidates = N._candidates(distinct)
+    candidates.collect()
+    plan = candidates._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "ReusedExchange" in plan
+    sent = distinct.mapInArrow(N._projected, "g int, h binary, minima binary, words binary").selectExpr("sum(length(h) + length(minima) + length(words)) n").first().n
+    assert sent <= 600 * distinct.count()
+
+
+def test_large_groups_find_the_same(monkeypatch):
+    """Groups that are read in several rounds, lie in files and have subsets of six give the pairs that small ones give."""
+    texts = [t for _, t, _ in made(40) if t and len(t) >= 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([" ".join(t.split()) for t in texts])], ["h", "norm"])
+    pieces = list(N._projected(iter([batch])))
+
+    def pairs():
+        return {(a, b) for k in range(N.SHARES) for out in N._meetings(k)(iter(pieces)) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+
+    sets = [grams(t) for t in texts]
+    alike = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    small = pairs()
+    assert alike <= small
+    monkeypatch.setattr(N, "_ROWS", 30)
+    monkeypatch.setattr(N, "_HELD", 1000)
+    monkeypatch.setattr(N, "_PAIRS", 7)
+    assert pairs() == small
+    monkeypatch.setattr(N, "SUBSETS", ((0, 6, 800),))
+    assert alike <= pairs()
+
+
+def test_misses_at_one_half_are_rare():
+    """Sets of random sequences at exactly one half pass some group, for the subsets of small and of large groups."""
+    rng, n = np.random.default_rng(4), 4000
+    h = rng.integers(0, 1 << 63, (n, 300), dtype=np.uint64) << np.uint64(1)
+    sides = h[:, :225], h[:, np.r_[:150, 225:300]]
+    parts = [[N._projections(np.repeat(np.arange(500), 225), x[i : i + 500].ravel(), 500) for i in range(0, n, 500)] for x in sides]
+    (m, w), (m2, w2) = ([np.concatenate(c, -1) for c in zip(*p)] for p in parts)
+    bits = np.bitwise_count(w ^ w2).astype(int)
+    near = (bits[:, 0] <= N.NEAR_FIRST) & (bits.sum(1) <= N.NEAR)
+    for least, _, _ in N.SUBSETS:
+        met = np.any([(m == m2)[:, s].all(1) for s in map(list, N._subsets(least))], axis=0)
+        assert (met & near).any(0).sum() >= n - 1
