@@ -4,8 +4,8 @@ PartEnum signatures find the candidates. The domain of the sequences is partitio
 thinned to its least sequence in hash order, which is equal in two texts with their similarity as the probability. MINIMA parts form a first-level
 group. Within a group subsets of the parts are enumerated; two texts meet if they agree in all parts of a subset. The
 subsets are enumerated where the group is read, so that a text is sent once for each group, as one byte for each part and not as its signatures.
-Beside them goes a piece of sketch, made of parts that no other group uses; meetings whose pieces are too far apart are dropped on the spot, the
-others are compared exactly. No sequence is left out for being common.
+Beside them goes a piece of sketch, made of parts that no other group uses; meetings whose pieces and minima are too far apart are dropped on the spot,
+the others are compared exactly. No sequence is left out for being common.
 """
 
 from __future__ import annotations
@@ -21,22 +21,25 @@ from pyspark.sql import functions as F
 
 from sitequarry.llm.leaks import hashes
 from sitequarry.operators.components import components
+from sitequarry.plans.session import stored
 
 WIDTH = 5
 MIN_CHARS = 40
 #: First-level groups, and minima in each.
-GROUPS, MINIMA = 8, 20
+GROUPS, MINIMA = 4, 60
 #: Texts of a group from which on so many minima must agree, and how many subsets of that size are enumerated.
-SUBSETS = ((0, 5, 200), (1 << 20, 6, 800))
+SUBSETS = ((0, 5, 240), (1 << 24, 6, 600))
 #: Words of a group's piece of sketch, two bits a minimum, and how many bits may differ in the first and in all: at one half 16 and 80 do.
 WORDS, NEAR_FIRST, NEAR = 5, 28, 102
+#: Bits that may differ in the first words together, by their number: at one half 32 and 48 do.
+_NEAR_SOME = {1: NEAR_FIRST, 2: 48, 3: 68, WORDS: NEAR}
+#: How many bits of the sketch and twice the minima may differ together: at one half 140 do, with a deviation of 11 to 13.
+FAR = 172
 #: Tasks that share the subsets of one group.
 SHARES = 4
-#: Texts whose subsets are sorted at once, bytes of a column held in memory, pairs compared at once.
-_ROWS, _HELD, _PAIRS = 1 << 20, 1 << 24, 1 << 20
+#: Texts whose subsets are sorted at once, bytes of a column held in memory, pairs compared at once, pieces of a column written at once.
+_ROWS, _HELD, _PAIRS, _PIECES = 1 << 18, 1 << 22, 1 << 20, 1024
 _HASHES = 4
-#: A random number for each minimum and value; texts agree in a subset if the sums without carry over it are equal.
-_TABLE = np.random.default_rng(6).integers(0, 1 << 63, (MINIMA, 256), dtype=np.uint64) << np.uint64(1)
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, _HASHES // 2 + 1, dtype=np.uint64) | np.uint64(1)
 _EMPTY = np.uint32(0xFFFFFFFF)
 _SLICE = 125
@@ -139,15 +142,26 @@ class _Column:
     """Values that come piece by piece; beyond _HELD bytes they lie in a file of the task."""
 
     def __init__(self, kind: type) -> None:
-        self.kind, self.size, self.file = kind, 0, tempfile.SpooledTemporaryFile(_HELD)
+        self.kind, self.size, self.held, self.file = kind, 0, [], None
 
     def add(self, piece: bytes) -> None:
-        self.file.write(piece)
+        self.held.append(piece)
         self.size += len(piece)
+        if self.size > _HELD and (self.file is None or len(self.held) >= _PIECES):
+            self._write()
+
+    def _write(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        self.file.write(b"".join(self.held))
+        self.held = []
 
     def whole(self) -> np.ndarray:
-        self.file.seek(0)
-        return np.memmap(self.file, self.kind, "r") if self.size > _HELD else np.frombuffer(self.file.read(), self.kind)
+        if self.file:
+            self._write()
+            self.file.flush()
+            return np.memmap(self.file, self.kind, "r")
+        self.held = [b"".join(self.held)]
+        return np.frombuffer(self.held[0], self.kind)
 
 
 def _runs(key: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,41 +184,86 @@ def _unique(pieces: list[np.ndarray]) -> np.ndarray:
     return every[np.append(True, every[1:] != every[:-1])] if len(every) else every
 
 
+def _rounds(minima: list[np.ndarray], subsets: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, list[tuple[int, ...]]]]:
+    """Places of texts, and the subsets to be sorted among them: texts that agree in a subset agree in its first minimum."""
+    if len(minima[0]) <= _ROWS:
+        yield np.arange(len(minima[0])), subsets
+        return
+    for first in sorted({s[0] for s in subsets}):
+        size = np.bincount(minima[first], minlength=256)
+        turn = ((np.cumsum(size) - size) // _ROWS).astype(np.uint32)
+        turns = turn[minima[first]]
+        for t in np.unique(turn[size > 0]):
+            yield np.flatnonzero(turns == t), [s for s in subsets if s[0] == first]
+
+
+def _sorted(columns: list[np.ndarray], low: int) -> np.ndarray:
+    """Sorted keys of five bytes, equal where the columns are, and the place in the last ``low`` bits; columns from the fifth on share a byte."""
+    split = np.zeros((len(columns[0]), 8), np.uint8)
+    for at, column in enumerate(columns[:5]):
+        split[:, 7 - at] = column
+    for nth, column in enumerate(columns[5:]):
+        split[:, 3] += column * np.uint8(2 * nth + 101)
+    key = split.view("<u8").ravel()
+    key &= np.uint64((1 << 64) - (1 << low))
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    return key
+
+
+def _near(key: np.ndarray, low: int, words: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Pairs of places, the lesser one in the upper half, of texts that share a key and whose sketches are near."""
+    for i, n, j in _runs(key, low):
+        mask, start, end = np.uint64((1 << low) - 1), i[0], j[-1] + 1
+        # where each text is in several pairs, these lie side by side
+        dense = len(j) > end - start
+        if dense:
+            place = (key[start:end] & mask).view(np.int64)
+            a, b = np.repeat(i - start, n), j - start
+        else:
+            a, b = np.repeat((key[i] & mask).view(np.int64), n), (key[j] & mask).view(np.int64)
+        bits = np.zeros(len(a), np.uint16)
+        for nth, word in enumerate(words, 1):
+            if dense and len(a) <= len(place):
+                a, b, dense = place[a], place[b], False
+            elif dense:
+                word = word[place]
+            bits += np.bitwise_count(word[a] ^ word[b])
+            if nth in _NEAR_SOME:
+                near = np.flatnonzero(bits <= _NEAR_SOME[nth])
+                a, b, bits = a[near], b[near], bits[near]
+        if dense:
+            a, b = place[a], place[b]
+        yield (np.minimum(a, b) << 32 | np.maximum(a, b)).view(np.uint64)
+
+
 def _met(minima: list[np.ndarray], words: list[np.ndarray], subsets: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places, each pair at least once, of the texts of one group that agree in one of the subsets and have near sketches."""
-    rounds = min(-(-len(minima[0]) // _ROWS), 128)
-    for first in sorted({s[0] for s in subsets}) if rounds > 1 else [None]:
-        for turn in range(rounds):
-            # texts that agree in a subset agree in its first minimum
-            chosen = np.arange(len(minima[0])) if first is None else np.flatnonzero(minima[first] % rounds == turn)
-            mine = [s for s in subsets if first in (None, s[0])]
-            column = {q: _TABLE[q][minima[q][chosen]] for q in {q for s in mine for q in s}}
-            word, sketch = words[0][chosen], np.stack([w[chosen] for w in words[1:]], axis=1)
-            place = np.arange(len(chosen), dtype=np.uint64)
-            low = max(24, len(chosen).bit_length())
-            met = []
-            for subset in mine:
-                key = column[subset[0]] ^ column[subset[1]]
-                for q in subset[2:]:
-                    key ^= column[q]
-                key &= np.uint64((1 << 64) - (1 << low))
-                key |= place
-                key.sort()
-                for i, n, j in _runs(key, low):
-                    i, j = ((key[x] & np.uint64((1 << low) - 1)).astype(np.int64) for x in (i, j))
-                    bits = np.bitwise_count(np.repeat(word[i], n) ^ word[j])
-                    near = np.flatnonzero(bits <= NEAR_FIRST)
-                    a, b, bits = np.repeat(i, n)[near], j[near], bits[near].astype(np.uint16)
-                    for more in np.bitwise_count(sketch[a] ^ sketch[b]).T:
-                        bits += more
-                    near = bits <= NEAR
-                    a, b = a[near].astype(np.uint64), b[near].astype(np.uint64)
-                    met.append(np.minimum(a, b) << np.uint64(32) | np.maximum(a, b))
-                if sum(map(len, met[1:])) > _PAIRS:
-                    met = [_unique(met)]
-            if met:
-                pairs = _unique(met)
-                yield chosen[pairs >> np.uint64(32)], chosen[pairs & np.uint64(0xFFFFFFFF)]
+    """Pairs of places, each pair at least once, of the texts of one group that agree in one of the subsets and are near."""
+    for chosen, mine in _rounds(minima, subsets):
+        if len(chosen) < 2:
+            continue
+        # a round is larger where many texts have the same first minimum; what takes part is then fetched again for each subset
+        small = len(chosen) <= 2 * _ROWS
+        fetched = {q: minima[q][chosen] for q in {q for s in mine for q in s}} if small else {}
+        word = [w[chosen] for w in words]
+        low = max(24, len(chosen).bit_length())
+
+        def near(pairs: np.ndarray) -> np.ndarray:
+            a, b = (chosen[x.astype(np.int64)] for x in (pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)))
+            far = np.zeros(len(a), np.uint16)
+            for w in words:
+                far += np.bitwise_count(w[a] ^ w[b])
+            for m in minima:
+                far += np.uint16(2) * (m[a] != m[b])
+            return pairs[far <= FAR]
+
+        known, met = np.empty(0, np.uint64), []
+        for subset in mine:
+            met += _near(_sorted([fetched[q] if small else minima[q][chosen] for q in subset], low), low, word)
+            if sum(map(len, met)) > _PAIRS or subset is mine[-1]:
+                known, met = _unique([known, near(_unique(met)) if met else known]), []
+        if len(known):
+            yield chosen[(known >> np.uint64(32)).astype(np.int64)], chosen[(known & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def prepared(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -295,7 +354,8 @@ def found(chunks: DataFrame) -> DataFrame:
     Null, empty and short texts take no part. Pairs of classes of copies are expanded into pairs of rows at the end only.
     """
     texts = prepared(chunks)
-    members = texts.select("h", "id")
+    # stored, as each reader would make the texts normal again
+    members = stored(texts.select("h", "id"))
     x, y = members.toDF("a", "i"), members.toDF("b", "j")
     between = similar_classes(texts).select("a", "b").join(x, "a").join(y, "b").select("i", "j")
     within = x.join(y, F.col("a") == F.col("b")).where("i < j").select("i", "j")

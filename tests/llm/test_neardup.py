@@ -118,3 +118,39 @@ def test_misses_at_one_half_are_rare():
     for least, _, _ in N.SUBSETS:
         met = np.any([(m == m2)[:, s].all(1) for s in map(list, N._subsets(least))], axis=0)
         assert (met & near).any(0).sum() >= n - 1
+
+
+def test_work_in_large_groups_is_bounded():
+    """However many texts there are, a text is sorted for few subsets, and few bytes of it are sent."""
+    for texts in (1 << 16, 1 << 21, 1 << 25):
+        assert N.GROUPS * len(N._subsets(texts)) <= 2400
+    assert N.GROUPS * len(N._subsets(1 << 23)) <= 1000
+    assert N.GROUPS * (8 + N.MINIMA + 8 * N.WORDS) <= 450
+
+
+def test_far_pairs_are_not_handed_over():
+    """Of pairs of texts that have a quarter in common hardly any goes on to the exact comparison."""
+    rng, n, size = np.random.default_rng(9), 4000, 400
+    h = rng.integers(0, 1 << 63, (n, 2 * size), dtype=np.uint64) << np.uint64(1)
+    sides = h[:, :size], np.ascontiguousarray(h[:, size * 3 // 5 : size * 8 // 5])
+    parts = [[N._projections(np.repeat(np.arange(500), size), x[i : i + 500].ravel(), 500) for i in range(0, n, 500)] for x in sides]
+    minima, words = (np.concatenate([q[k] for p in parts for q in p], -1) for k in (0, 1))
+    kept = set()
+    for m, w in zip(minima, words):
+        for i, j in N._met(list(m), list(w), N._subsets(2 * n)):
+            kept |= set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+    assert len(kept) <= n // 400
+
+
+def test_a_common_minimum_and_files(monkeypatch):
+    """Texts most of which have the same first minima, more than a round holds, meet like in one round."""
+    texts = [t for _, t, _ in made(30, 5) if t and len(t) >= 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([" ".join(t.split()) for t in texts])], ["h", "norm"])
+    rows = next(N._projected(iter([batch])))
+    m = [np.frombuffer(b, np.uint8).reshape(N.MINIMA, -1).copy() for b in rows.column(2).to_pylist()][0]
+    w = list(np.frombuffer(rows.column(3).to_pylist()[0], np.uint64).reshape(N.WORDS, -1))
+    m[:40, : m.shape[1] * 4 // 5] = 7
+    pairs = lambda: {(min(p), max(p)) for i, j in N._met(list(m), w, N._subsets(0)) for p in zip(i.tolist(), j.tolist())}
+    small = pairs()
+    monkeypatch.setattr(N, "_ROWS", 20)
+    assert small and pairs() == small
