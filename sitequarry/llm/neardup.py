@@ -368,7 +368,8 @@ def groups(chunks: DataFrame) -> DataFrame:
     ``copies`` counts the rows with its very text, ``links`` the other texts alike. A text like no other is its own group.
     """
     texts = prepared(chunks)
-    pairs = similar_classes(texts).select("a", "b")
+    # stored, as the components and the links would each run the search
+    pairs = stored(similar_classes(texts).select("a", "b"))
     classes = texts.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     named = pairs.join(classes.select(F.col("h").alias("a"), F.col("first").alias("x")), "a").join(classes.select(F.col("h").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     group = components(named, "x", "y")
